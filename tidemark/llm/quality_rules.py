@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import batch_of
-from .store import written
+from .store import by_hash, written
 from .text_stats import BASE_FIELDS, mapper
 
 FEATURES = ["words_log", "word_len", "symbol_ratio", "dup_lines_log", "repeat_ratio"]
@@ -147,7 +147,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 100, sample:
     run, schema = mapper(BASE_FIELDS)
     stats = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "rule-stats")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    taken = stats.where(~failed).orderBy(F.xxhash64(F.lit(seed), "doc_id", *BASE_FIELDS)).limit(trees * sample).toPandas()
+    taken = by_hash(stats.where(~failed), ["doc_id", *BASE_FIELDS], seed, trees * sample).toPandas()
     counts = ["doc_id", *BASE_FIELDS]
     if not len(taken):
         return stats.select(*counts, failed.alias("base_failed"), (~failed).alias("kept"), F.lit(0.0).alias("anomaly"))

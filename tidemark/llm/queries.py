@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, quality_rules
+from . import byte_bpe, near_dedup, packing, quality_rules
 from .store import table
 
 
@@ -13,6 +13,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -22,7 +26,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_quality_rules": op4_quality_rules, "op7_byte_bpe": op7_byte_bpe, "op10_packing": op10_packing}
+    return {"op4_quality_rules": op4_quality_rules, "op6_near_dedup": op6_near_dedup, "op7_byte_bpe": op7_byte_bpe, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
