@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, near_dedup, packing, quality_rules
+from . import byte_bpe, language, near_dedup, packing, quality_gbt, quality_rules, toxicity
 from .store import table
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -21,12 +29,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gbt.quality_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
 def queries() -> dict:
-    return {"op4_quality_rules": op4_quality_rules, "op6_near_dedup": op6_near_dedup, "op7_byte_bpe": op7_byte_bpe, "op10_packing": op10_packing}
+    return {"op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op6_near_dedup": op6_near_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_quality": op8_quality, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
