@@ -86,8 +86,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(schema, part.column(0).cast(pa.int32()), at)
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, seed: int = 3) -> ToxicityModel:
-    """docs (doc_id, text), labels (doc_id, `column`), of the rows to learn from."""
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, epochs: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.01, weight: float = 3.0, seed: int = 3) -> ToxicityModel:
+    """docs (doc_id, text), labels (doc_id, `column`), of the rows to learn from. weight: of a toxic document's error."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label")).cache()
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
@@ -102,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     for _ in range(epochs):
         for i in rng.permutation(len(sample)).tolist():
             at = np.frombuffer(sample[i][1], np.int32)
-            model.step(at, np.ones(len(at)), sample[i][0])
+            model.step(at, np.ones(len(at)), sample[i][0], weight if sample[i][0] else 1.0)
     weights = model.weights(slice(0, 1 << BITS))[:, 0]
     hit = np.flatnonzero(weights)
     shift = np.log(n1 / n0) - np.log(min(n1, per_class) / min(n0, per_class))
