@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import batch_of, chunks
+from .kernel import batch_of, chunks, span_hashes
 
 # Classes of code points. Fixed value: the code points that \s stands for.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -153,53 +153,58 @@ def boundaries(codes: np.ndarray, breaks: np.ndarray, unicode: int = 16) -> np.n
     return np.flatnonzero(STARTS[states(sym) * np.uint8(N_SYMBOLS) + sym])
 
 
+NO_PAIR = np.int64(2**62)
+
+
 class Pairs:
-    """Hash table from pairs of ids to (rank, id of the merge)."""
+    """Hash table from pairs of ids to rank << 32 | id of the merge."""
 
     BITS = 20
+    FREE = np.uint64(2**64 - 1)
 
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray, merged: np.ndarray):
         keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+        values = (rank.astype(np.int64) << 32) | merged.astype(np.int64)
         size = 1 << self.BITS
-        self.keys = np.full(size + 64, np.uint64(2**64 - 1))
-        self.rank = np.full(size + 64, NEVER, np.int32)
-        self.merged = np.zeros(size + 64, np.int32)
+        self.keys = np.full(size + 64, self.FREE)
+        self.values = np.full(size + 64, NO_PAIR)
         slot = self._slot(keys)
         todo = np.arange(len(keys))
         self.reach = 0
         while len(todo):
             at = slot[todo] + self.reach
-            free = self.keys[at] == np.uint64(2**64 - 1)
             _, firsts = np.unique(at, return_index=True)
             take = np.zeros(len(todo), bool)
             take[firsts] = True
-            take &= free
+            take &= self.keys[at] == self.FREE
             won = todo[take]
-            self.keys[at[take]], self.rank[at[take]], self.merged[at[take]] = keys[won], rank[won], merged[won]
+            self.keys[at[take]], self.values[at[take]] = keys[won], values[won]
             todo = todo[~take]
             self.reach += 1
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
 
-    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
         at = self._slot(keys)
-        rank = np.where(self.keys[at] == keys, self.rank[at], NEVER)
-        where = at.copy()
-        open_ = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != np.uint64(2**64 - 1)))
+        there = self.keys[at]
+        hit = there == keys
+        out = np.where(hit, self.values[at], NO_PAIR)
+        left_over = np.flatnonzero(~hit & (there != self.FREE))
         for d in range(1, self.reach):
-            if not len(open_):
+            if not len(left_over):
                 break
-            to = at[open_] + d
-            hit = self.keys[to] == keys[open_]
-            rank[open_[hit]] = self.rank[to[hit]]
-            where[open_[hit]] = to[hit]
-            open_ = open_[~hit & (self.keys[to] != np.uint64(2**64 - 1))]
-        return rank, self.merged[where]
+            to = at[left_over] + d
+            there = self.keys[to]
+            hit = there == keys[left_over]
+            out[left_over[hit]] = self.values[to[hit]]
+            left_over = left_over[~hit & (there != self.FREE)]
+        return out
 
 
-NEVER = np.int32(2**31 - 1)
+#: Bytes of text that are cut and looked up at once.
+CHUNK = 1_000_000
 #: Slices of more bytes than this are merged one by one, by a heap.
 LONG = 64
 
@@ -281,8 +286,9 @@ class Vocabulary:
                 out[i] = np.array(self.merge_long(s), "<u4").tobytes()
             else:
                 todo.append(i)
-        for at in range(0, len(todo), 4096):
-            part = sorted(todo[at : at + 4096], key=lambda i: len(slices[i]))
+        length = [*map(len, slices)].__getitem__
+        for at in range(0, len(todo), 8192):
+            part = sorted(todo[at : at + 8192], key=length)
             for lo in range(0, len(part), 1024):
                 rows = part[lo : lo + 1024]
                 for i, ids in zip(rows, self._merge_rows([slices[i] for i in rows]), strict=True):
@@ -290,45 +296,52 @@ class Vocabulary:
         return out
 
     def _merge_rows(self, slices: list[bytes]) -> list[bytes]:
+        """Rows of ids and, for each adjacent pair, rank << 32 | merged id (NO_PAIR: none); every round merges the least pair of each row that has one."""
         lengths = np.array([len(s) for s in slices])
         width = int(lengths.max())
-        ids = np.full((len(slices), width + 1), -1, np.int64)
+        ids = np.full((len(slices), width + 1), -1, np.int32)
         inside = np.arange(width + 1)[None, :] < lengths[:, None]
         ids[inside] = self.byte_ids[np.frombuffer(b"".join(slices), np.uint8)]
-        rank = np.full((len(slices), width), NEVER, np.int32)
-        merged = np.zeros((len(slices), width), np.int64)
-        pair = inside[:, 1:]
-        rank[pair], merged[pair] = self.pairs.find(ids[:, :-1][pair], ids[:, 1:][pair])
-        live = np.arange(len(slices))
-        places = np.arange(width)
-        while len(live):
-            best = rank[live].argmin(1)
-            found = rank[live, best] != NEVER
-            live, best = live[found], best[found]
-            if not len(live):
-                break
-            ids[live, best] = merged[live, best]
+        pairs = np.full((len(slices), width), NO_PAIR, np.int64)
+        at = inside[:, 1:]
+        pairs[at] = self.pairs.find(ids[:, :-1][at], ids[:, 1:][at])
+        done_ids, done_rows = [], []
+        rows = np.arange(len(slices))
+        places = np.arange(width + 1, dtype=np.int32)
+        while len(rows):
+            best = pairs.argmin(1)
+            line = np.arange(len(rows))
+            top = pairs[line, best]
+            more = top != NO_PAIR
+            if not more.all():  # rows that are ready leave
+                done_ids.append(ids[~more])
+                done_rows.append(rows[~more])
+                ids, pairs, rows, best, top = ids[more], pairs[more], rows[more], best[more], top[more]
+                line = line[: len(rows)]
+                if not len(rows):
+                    break
+            ids[line, best] = (top & 0xFFFFFFFF).astype(np.int32)
             # everything right of the pair moves one place left
-            source = places[None, :] + (places[None, :] > best[:, None])
-            np.minimum(source, width, out=source)
-            ids[live[:, None], places[None, :]] = ids[live[:, None], source]
-            ids[live, width] = -1
-            source = np.minimum(places[None, :] + (places[None, :] >= best[:, None]), width - 1)
-            rank_, merged_ = rank[live[:, None], source], merged[live[:, None], source]
-            rank_[:, -1] = NEVER
-            rank[live], merged[live] = rank_, merged_
-            for side in (best - 1, best):
-                ok = side >= 0
-                r, s = live[ok], side[ok]
-                a, b = ids[r, s], ids[r, s + 1]
-                there = b >= 0
-                rank[r[~there], s[~there]] = NEVER
-                r, s = r[there], s[there]
-                rank[r, s], merged[r, s] = self.pairs.find(a[there], b[there])
-        got = ids >= 0
-        flat = ids[got].astype("<u4").tobytes()
-        ends = np.cumsum(got.sum(1)) * 4
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            moved = places[None, :-1] > best[:, None]
+            ids[:, :-1] = np.where(moved, ids[:, 1:], ids[:, :-1])
+            ids[:, -1] = -1
+            moved[line, best] = True
+            pairs[:, :-1] = np.where(moved[:, :-1], pairs[:, 1:], pairs[:, :-1])
+            pairs[:, -1] = NO_PAIR
+            r, s = np.concatenate((line[best > 0], line)), np.concatenate((best[best > 0] - 1, best))
+            a, b = ids[r, s], ids[r, s + 1]
+            new = self.pairs.find(a, b)
+            new[b < 0] = NO_PAIR
+            pairs[r, s] = new
+        out: list[bytes] = [b""] * len(slices)
+        for ids, rows in zip(done_ids, done_rows, strict=True):
+            got = ids >= 0
+            flat = ids[got].astype("<u4").tobytes()
+            at = 0
+            for row, n in zip(rows.tolist(), (got.sum(1) * 4).tolist(), strict=True):
+                out[row] = flat[at : at + n]
+                at += n
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, gathered by the offsets of the vocabulary."""
@@ -343,49 +356,55 @@ class Vocabulary:
 class Encoder:
     """Whole texts to ids. The cache holds `most` slices in each of two generations."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 700_000):
         self.vocabulary, self.most = vocabulary, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.young) + len(missing) > self.most:
-            self.old, self.young = self.young, {}
+    def _ids(self, slices: list[str]) -> list[bytes]:
+        """The ids of distinct slices, from the cache or merged now."""
+        found = list(map(self.young.get, slices))
+        missing = [i for i, x in enumerate(found) if x is None]
         new = []
-        for s in missing:
-            if (known := self.old.get(s)) is not None:
-                self.young[s] = known
+        for i in missing:
+            if (known := self.old.get(slices[i])) is not None:
+                found[i] = known
             else:
-                new.append(s)
-        self.young.update(zip(new, self.vocabulary.merge([s.encode() for s in new]), strict=True))
-
-    def slices(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The slices of all texts, and the index of each text's first one, with their number as last."""
-        joined = "\0".join(texts) + "\0"
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
-        at = boundaries(codes, ends, self.vocabulary.unicode)
-        cut = at.tolist()
-        out = [joined[a:b] for a, b in zip(cut, [*cut[1:], len(joined)], strict=True)]
-        stops = np.searchsorted(at, ends)
-        for i in reversed(stops.tolist()):
-            del out[i]
-        return out, np.concatenate(([0], stops - np.arange(len(texts))))
+                new.append(i)
+        for i, x in zip(new, self.vocabulary.merge([slices[i].encode() for i in new]), strict=True):
+            found[i] = x
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young = self.young, {}
+        self.young.update((slices[i], found[i]) for i in missing)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        """The ids of each text, as little-endian unsigned 32-bit integers.
+
+        Slices that occur again in these texts are told by a 64-bit hash, so that each is looked up once.
+        """
         if not texts:
             return []
-        pieces, first = self.slices(texts)
-        missing = set(pieces).difference(self.young)
-        if len(missing) + len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-            missing = set(pieces)
-        if missing:
-            self._learn(missing)
-        get = self.young.__getitem__
-        cut = first.tolist()
-        return [b"".join(map(get, pieces[a:b])) for a, b in zip(cut, cut[1:], strict=False)]
+        joined = "\0".join(texts) + "\0"
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        breaks = np.cumsum([len(t) + 1 for t in texts]) - 1
+        starts = boundaries(codes, breaks, self.vocabulary.unicode)
+        ends = np.append(starts[1:], len(codes))
+        stops = np.searchsorted(starts, breaks)  # the breaks are no slices
+        own = np.ones(len(starts), bool)
+        own[stops] = False
+        starts, ends = starts[own], ends[own]
+        first = np.concatenate(([0], stops - np.arange(len(texts))))
+        _, at, which = np.unique(span_hashes((codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), starts, ends), return_index=True, return_inverse=True)
+        found = self._ids([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.array([len(x) >> 2 for x in found], np.int64)
+        offset = np.cumsum(size) - size
+        many = size[which]
+        total = np.concatenate(([0], np.cumsum(many)))
+        ids = flat[np.repeat(offset[which] - total[:-1], many) + np.arange(total[-1])].tobytes()
+        cut = (total[first] * 4).tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -418,7 +437,7 @@ def _run(docs: DataFrame, ranks_path: str, digest: bool) -> DataFrame:
         encoder = encoder_of("ranks", data.value)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
-            for part, texts in chunks(batch, "text"):
+            for part, texts in chunks(batch, "text", CHUNK):
                 ids = encoder.encode([t.decode() for t in texts])
                 decoded = [encoder.vocabulary.decode(np.frombuffer(x, "<u4")) for x in ids]
                 if digest:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import encoder_of
+from .byte_bpe import CHUNK, encoder_of
 from .kernel import batch_of, chunks
 
 Piece = tuple[int | None, int, bytes, int]  # document, ids before it, its ids, the document's ids
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
             return out
 
         for batch in batches:
-            for part, texts in chunks(batch, "text"):
+            for part, texts in chunks(batch, "text", CHUNK):
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t.decode() for t in texts]), strict=True):
                     for window in packer.take(doc, ids + end):
                         add(window)
