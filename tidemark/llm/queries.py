@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, html_blocks, language, near_dedup, packing, quality_gbt, quality_rules, toxicity
+from . import byte_bpe, chat_format, fingerprint, html_blocks, language, near_dedup, packing, quality_gbt, quality_rules, toxicity
 from .store import table
 
 
@@ -25,6 +25,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -49,7 +53,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_html_extraction": op1_html_extraction, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op6_near_dedup": op6_near_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_quality": op8_quality, "op9_chat_format": op9_chat_format, "op10_packing": op10_packing}
+    return {"op1_html_extraction": op1_html_extraction, "op2_language": op2_language, "op3_toxicity": op3_toxicity, "op4_quality_rules": op4_quality_rules, "op5_fingerprint": op5_fingerprint, "op6_near_dedup": op6_near_dedup, "op7_byte_bpe": op7_byte_bpe, "op8_quality": op8_quality, "op9_chat_format": op9_chat_format, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
