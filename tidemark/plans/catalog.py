@@ -46,7 +46,8 @@ add = CATALOG.add
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    return F.round(c, digits)
+    """Rounded, and never -0.0."""
+    return F.round(c, digits) + F.lit(0.0)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +250,7 @@ def matrix_sum(spark, sf_dir):
     return USERS_BY_HOUR.sums(int_matrix(spark, sf_dir))
 
 
-@add("matrix_sum_float", f"SELECT r, round(sum(CAST(v AS DOUBLE)), 5) AS \"sum\" FROM {E_CELLS} GROUP BY r")
+@add("matrix_sum_float", f"SELECT r, round(sum(CAST(v AS DOUBLE)), 5) + 0.0 AS \"sum\" FROM {E_CELLS} GROUP BY r")
 def matrix_sum_float(spark, sf_dir):
     return Matrix(1_000_000, 64, "float").sums(vectors(spark, sf_dir)).withColumn("sum", rounded(F.col("sum"), 5))
 
@@ -268,7 +269,7 @@ def _pcc_sql(cells: str, cols: int, row: int) -> str:
 
 def _best_sql(cells: str, cols: int, row: int, mode: str) -> str:
     order = "DESC" if mode == "max" else "ASC"
-    return f"SELECT round(pcc, 9) AS pcc, r AS closest FROM {_pcc_sql(cells, cols, row)} WHERE pcc IS NOT NULL ORDER BY pcc {order}, r LIMIT 1"
+    return f"SELECT round(pcc, 9) + 0.0 AS pcc, r AS closest FROM {_pcc_sql(cells, cols, row)} WHERE pcc IS NOT NULL ORDER BY pcc {order}, r LIMIT 1"
 
 
 for _mode in ("max", "min"):
@@ -282,7 +283,7 @@ for _mode in ("max", "min"):
         return Matrix(1_000_000, 64, "float").best_match(vectors(spark, sf_dir), 7, mode).withColumn("pcc", rounded(F.col("pcc"), 9))
 
 
-@add("matrix_correlations_float", f"SELECT r, round(pcc, 6) AS pcc FROM {_pcc_sql(E_CELLS, 64, 7)}")
+@add("matrix_correlations_float", f"SELECT r, round(pcc, 6) + 0.0 AS pcc FROM {_pcc_sql(E_CELLS, 64, 7)}")
 def matrix_correlations_float(spark, sf_dir):
     return Matrix(1_000_000, 64, "float").correlations(vectors(spark, sf_dir), 7).withColumn("pcc", rounded(F.col("pcc")))
 
@@ -309,14 +310,14 @@ def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 HALVES = f"SELECT r, c, v, 0 AS part FROM {E_CELLS} WHERE r % 2 = 0 UNION ALL SELECT r, c, CASE WHEN c % 5 = 0 THEN NULL ELSE v END, 1 FROM {E_CELLS} WHERE r % 3 = 0"
 
 
-@add("matrix_merge_add_float", f"SELECT r, c, round(CAST(CAST(sum(CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 5) AS v FROM ({HALVES}) GROUP BY ALL")
+@add("matrix_merge_add_float", f"SELECT r, c, round(CAST(CAST(sum(CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 5) + 0.0 AS v FROM ({HALVES}) GROUP BY ALL")
 def matrix_merge_add_float(spark, sf_dir):
     m = Matrix(1_000_000, 64, "float")
     got = m.merge_add(*_halves(spark, sf_dir), m)
     return got.select("r", "c", rounded(F.when(~F.isnan("v"), F.col("v").cast("double")), 5).alias("v"))
 
 
-@add("matrix_merge_set_float", f"SELECT r, c, round(CAST(CASE WHEN r < 90 AND c < 32 THEN b ELSE a END AS DOUBLE), 5) AS v FROM (SELECT r, c, max(v) FILTER (part = 0) AS a, max(v) FILTER (part = 1) AS b, bool_or(part = 0) AS ha, bool_or(part = 1) AS hb FROM ({HALVES}) GROUP BY ALL) WHERE CASE WHEN r < 90 AND c < 32 THEN hb ELSE ha END")
+@add("matrix_merge_set_float", f"SELECT r, c, round(CAST(CASE WHEN r < 90 AND c < 32 THEN b ELSE a END AS DOUBLE), 5) + 0.0 AS v FROM (SELECT r, c, max(v) FILTER (part = 0) AS a, max(v) FILTER (part = 1) AS b, bool_or(part = 0) AS ha, bool_or(part = 1) AS hb FROM ({HALVES}) GROUP BY ALL) WHERE CASE WHEN r < 90 AND c < 32 THEN hb ELSE ha END")
 def matrix_merge_set_float(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
     part = Matrix(90, 32, "float")
