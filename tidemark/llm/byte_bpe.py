@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import batch_of, chunks, span_hashes
+from .store import text_map
 
 # Classes of code points. Fixed value: the code points that \s stands for.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -204,7 +205,7 @@ class Pairs:
 
 
 #: Bytes of text that are cut and looked up at once.
-CHUNK = 1_000_000
+CHUNK = 500_000
 #: Slices of more bytes than this are merged one by one, by a heap.
 LONG = 64
 
@@ -356,7 +357,7 @@ class Vocabulary:
 class Encoder:
     """Whole texts to ids. The cache holds `most` slices in each of two generations."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 700_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 250_000):
         self.vocabulary, self.most = vocabulary, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -445,4 +446,4 @@ def _run(docs: DataFrame, ranks_path: str, digest: bool) -> DataFrame:
                 else:
                     yield batch_of(schema, part.column(0), ids, decoded)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "doc_id bigint, ids binary, decoded binary")
+    return text_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "doc_id bigint, ids binary, decoded binary")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import batch_of
+from .store import text_map
 
 # ---- syntax tree
 
@@ -457,7 +458,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
                 at += len(piece)
             yield batch_of(schema, [conv], ["".join(out)], [spans])
 
-    return _sorted(conversations).mapInArrow(run, "conv_id bigint, formatted string, spans array<array<bigint>>")
+    return text_map(_sorted(conversations), run, "conv_id bigint, formatted string, spans array<array<bigint>>")
 
 
 def format_digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -481,4 +482,4 @@ def format_digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFr
         if rows:
             yield batch_of(schema, *zip(*rows, strict=True))
 
-    return _sorted(conversations).mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return text_map(_sorted(conversations), run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import BYTE_CODES, C1, U64, batch_of, mix, span_hashes
+from .store import text_map
 
 LEVELS = 3
 BINS = 64
@@ -216,4 +217,4 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
                         held = [] if copy else held[-1:]
                         size = len(text)
 
-    return with_next(docs).mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return text_map(with_next(docs), run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import batch_of
+from .store import text_map
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*[^>]*>|\Z)"
@@ -303,4 +304,4 @@ def extract(pages: DataFrame, labelled: list[tuple] = LABELLED) -> DataFrame:
                 texts = ["\n".join([b.text for b in p if next(verdict)]) for p in pages_]
                 yield batch_of(schema, part.column(0), part.column(1).cast(pa.string()), texts, [len(t) for t in texts])
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return text_map(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), run, "page_id bigint, url string, text string, n_chars bigint")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, softmax
 from .kernel import batch_of, chunks
-from .store import dropped, fold_of, written
+from .store import dropped, fold_of, text_map, written
 
 BITS = 16
 SIZE = 1 << BITS
@@ -141,7 +141,7 @@ def train(docs: DataFrame, per_language: int = 1500, epochs: int = 4, alpha: flo
     languages = sorted(sizes)
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))))[F.col("lang")]
     chosen = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
-    table = written(rows.select("lang", chosen.alias("chosen"), "text").mapInArrow(_counts, "bucket int, n bigint, lang string, at binary, times binary"), "language-counts")
+    table = written(text_map(rows.select("lang", chosen.alias("chosen"), "text"), _counts, "bucket int, n bigint, lang string, at binary, times binary"), "language-counts")
     df = np.zeros(SIZE)
     total = 1
     for r in table.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # 65,537 rows at most
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: LanguageModel, columns: list[str]) -> DataFr
                 langs, score = shared.value.predict(texts)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(columns))), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names)
 
-    return docs.select(*columns, F.col("text").cast("string").alias("text__")).mapInArrow(run, out)
+    return text_map(docs.select(*columns, F.col("text").cast("string").alias("text__")), run, out)
 
 
 def identify(docs: DataFrame, learn: DataFrame, **parameters) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import C1, LOWER, U64, Words, batch_of, chunks, mix
-from .store import dropped, written
+from .store import text_map, written
 
 ROWS = 8
 BATCH = 32
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union of the shingle sets."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _keys(words, percent, miss)
-    keys = written(docs.mapInArrow(run, schema), "near-keys")
+    keys = written(text_map(docs, run, schema), "near-keys")
     real = keys.where("doc_id is not null and n_shingles > 0")
     same = ["k1", "k2", "n_shingles"]
     classes = written(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-classes")
@@ -233,9 +233,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 
     run, schema = _sets(words, percent, miss)
     # rows that share a doc_id bring their own sets; all of them stand for it
-    sets = docs.join(clusters, "doc_id").mapInArrow(run, schema)
+    sets = text_map(docs.join(clusters, "doc_id"), run, schema)
     run, schema = _links(percent, miss)
-    links = sets.repartition("cluster", "b1", "b2").sortWithinPartitions("cluster", "b1", "b2", "block", "doc_id").mapInArrow(run, schema)
+    links = text_map(sets.repartition("cluster", "b1", "b2").sortWithinPartitions("cluster", "b1", "b2", "block", "doc_id"), run, schema)
 
     of = real.select("doc_id", *same).join(classes.select(*same, "rep"), same).select("doc_id", "rep")
     shared = of.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import CHUNK, encoder_of
 from .kernel import batch_of, chunks
+from .store import text_map
 
 Piece = tuple[int | None, int, bytes, int]  # document, ids before it, its ids, the document's ids
 
@@ -161,7 +162,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t.decode() for t in texts]), strict=True):
                     for window in packer.take(doc, ids + end):
                         add(window)
-                        if len(rows) >= 5000:
+                        if len(rows) >= 1000:
                             yield ready()
         for window in packer.close():
             add(window)
@@ -169,4 +170,4 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
             yield ready()
 
     kinds = ", ".join(f"`{c}` bigint" for c in longs) + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
+    return text_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, kinds)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import batch_of
-from .store import by_hash, fold_of, written
+from .store import by_hash, fold_of, text_map, written
 from .text_stats import FIELDS, mapper
 
 
@@ -105,7 +105,7 @@ def train(stats: DataFrame, labels: DataFrame, most: int = 20_000, seed: int = 8
 def quality_held_out(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, cut: float = 0.3, **parameters) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, quality) -> doc_id, held_out, score, predicted; learns from rows of the other folds only."""
     run, schema = mapper(FIELDS)
-    stats = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "quality-stats")
+    stats = written(text_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema), "quality-stats")
     held = fold_of("doc_id", folds) == fold
     model = train(stats.where(~held), labels.where(~held), **parameters)
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])

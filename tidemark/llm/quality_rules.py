@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import batch_of
-from .store import by_hash, written
+from .store import by_hash, text_map, written
 from .text_stats import BASE_FIELDS, mapper
 
 FEATURES = ["words_log", "word_len", "symbol_ratio", "dup_lines_log", "repeat_ratio"]
@@ -145,7 +145,7 @@ def calibrate(scored: DataFrame, keep_good: float) -> float | None:
 def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 100, sample: int = 256, keep_good: float = 0.995, seed: int = 4) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, quality) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, anomaly."""
     run, schema = mapper(BASE_FIELDS)
-    stats = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "rule-stats")
+    stats = written(text_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema), "rule-stats")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     taken = by_hash(stats.where(~failed), ["doc_id", *BASE_FIELDS], seed, trees * sample).toPandas()
     counts = ["doc_id", *BASE_FIELDS]

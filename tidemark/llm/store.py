@@ -9,10 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that go to a Python worker at once (a longer row goes alone).
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow() in batches that are bounded by bytes, so that neither long texts nor many rows fill a worker's memory.
+
+    The bound is a setting of the session.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the session has it; only where it is unset, as in tests, a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)

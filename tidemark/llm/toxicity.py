@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .ftrl import Ftrl
 from .kernel import C1, C2, C3, LOWER, U64, Words, batch_of, chunks, mix
-from .store import by_hash, fold_of
+from .store import by_hash, fold_of, text_map
 
 BITS = 20
 #: Bytes between words: all of ASCII but letters and digits.
@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     if not n1 or not n0:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), 60.0 if n1 else -60.0)
     ids = by_hash(marks.where("label = 1"), ["doc_id"], seed, per_class).union(by_hash(marks.where("label = 0"), ["doc_id"], seed, per_class))
-    rows = docs.join(F.broadcast(ids), "doc_id").select("label", "text").mapInArrow(_extract, "label int, at binary").collect()  # 2 * per_class rows
+    rows = text_map(docs.join(F.broadcast(ids), "doc_id").select("label", "text"), _extract, "label int, at binary").collect()  # 2 * per_class rows
     marks.unpersist()
     sample = sorted((r["label"], bytes(r["at"])) for r in rows)
     rng = np.random.default_rng(seed)
@@ -121,7 +121,7 @@ def score(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFram
             for part, texts in chunks(batch, "text__"):
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(columns))), pa.array(shared.value.score(texts, dense))], names)
 
-    return docs.select(*columns, F.col("text").cast("string").alias("text__")).mapInArrow(run, out)
+    return text_map(docs.select(*columns, F.col("text").cast("string").alias("text__")), run, out)
 
 
 def toxicity_held_out(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, **parameters) -> DataFrame:
