@@ -227,7 +227,7 @@ def fold(node: Node, filters: dict[str, Callable]) -> Node:
         name, a = node.args[0], fold(node.args[1], filters)
         if name not in filters:
             raise TemplateError(f"unknown filter {name!r}")
-        return Node("const", (filters[name](a.args[0]),)) if const(a) else Node("filter", (name, a))
+        return Node("const", (_filtered(filters[name], a.args[0]),)) if const(a) else Node("filter", (name, a))
     if node.kind == "print":
         a = fold(node.args[0], filters)
         return Node("text", (_text(a.args[0]),)) if const(a) else Node("print", (a,))
@@ -262,6 +262,11 @@ def fold(node: Node, filters: dict[str, Callable]) -> Node:
     return node
 
 
+def _filtered(f: Callable, value: object) -> object:
+    """A filter's result; of nothing, nothing."""
+    return None if value is None else f(value)
+
+
 def _text(value: object) -> str:
     return "" if value is None else str(value)
 
@@ -290,7 +295,7 @@ def _value(node: Node, filters: dict[str, Callable]) -> Value:
         return get
     if node.kind == "filter":
         f, a = filters[node.args[0]], _value(node.args[1], filters)
-        return lambda scope: f(a(scope))
+        return lambda scope: _filtered(f, a(scope))
     if node.kind == "not":
         a = _value(node.args[0], filters)
         return lambda scope: not a(scope)

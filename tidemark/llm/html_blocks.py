@@ -104,7 +104,7 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> str | None:
         if "article" in kinds:
             return "article"
     kind = TAG_KIND.get(tag)
-    return None if kind == "frame" and inside_article else kind
+    return None if tag == "header" and inside_article else kind  # an article's own header has its title
 
 
 def blocks(html: str) -> list[Block]:

@@ -1,6 +1,7 @@
 """Quality rules: fixed base rules, then an isolation forest over rule statistics.
 
-Short average paths over random splits mark a document as anomalous. The forest's trees are grown on
+Short average paths over random splits mark a document as anomalous. Subsamples are small, so that the few bad documents
+of one kind in them do not hide each other. The forest's trees are grown on
 a bounded sample (``trees * sample`` rows at most, by hash of the id: a documented parameter, as the
 method prescribes); the threshold is calibrated on *all* labelled rows, and every document is scored.
 
@@ -25,18 +26,14 @@ from .kernel import batch_of
 from .store import by_hash, text_map, written
 from .text_stats import BASE_FIELDS, mapper
 
-FEATURES = ["words_log", "word_len", "symbol_ratio", "dup_lines_log", "repeat_ratio"]
+#: Statistics that the forest's features need besides the base rules'.
+FIELDS = [*BASE_FIELDS, "n_short_words"]
+FEATURES = ["symbols_per_word", "chars_per_word", "repeat_share", "short_share"]
 
 
 def features(n: dict[str, np.ndarray]) -> np.ndarray:
     words = np.maximum(n["n_words"], 1).astype(float)
-    return np.column_stack([
-        np.log1p(n["n_words"]),
-        n["word_chars"] / words,
-        n["n_symbols"] / words,
-        np.log1p(n["n_dup_lines"]),
-        n["n_repeat_words"] / words,
-    ])
+    return np.column_stack([n[f] / words for f in ("n_symbols", "word_chars", "n_repeat_words", "n_short_words")])
 
 
 def _harmonic_path(n: np.ndarray) -> np.ndarray:
@@ -125,13 +122,17 @@ def _scorer(model: IsolationForest, fields: list[str], out: list[str]):
     return run, ", ".join(f"{f} bigint" for f in out) + ", anomaly double"
 
 
+#: Thresholds that are tried.
+STEPS = 5000
+
+
 def calibrate(scored: DataFrame, keep_good: float) -> float | None:
     """The threshold over which a document is dropped: of those that keep `keep_good` of the good labelled rows, the one that drops most bad ones.
 
-    scored: quality, anomaly of all labelled rows; only 1,001 counts per label come to the driver.
+    scored: quality, anomaly of all labelled rows; only STEPS counts per label come to the driver.
     """
-    counts = scored.groupBy("quality", F.ceil(F.col("anomaly") * 1000).cast("int").alias("step")).count().collect()
-    good, bad = np.zeros(1002), np.zeros(1002)
+    counts = scored.groupBy("quality", F.ceil(F.col("anomaly") * STEPS).cast("int").alias("step")).count().collect()
+    good, bad = np.zeros(STEPS + 2), np.zeros(STEPS + 2)
     for r in counts:
         (good if r["quality"] == 1 else bad)[r["step"]] += r["count"]
     if not good.sum() or not bad.sum():
@@ -139,20 +140,20 @@ def calibrate(scored: DataFrame, keep_good: float) -> float | None:
     kept_good, kept_bad = np.cumsum(good) / good.sum(), np.cumsum(bad) / bad.sum()
     able = np.flatnonzero(kept_good >= keep_good)
     best = able[np.argmin(kept_bad[able] * 1e6 - kept_good[able])]
-    return float(best) / 1000
+    return float(best) / STEPS
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 100, sample: int = 256, keep_good: float = 0.995, seed: int = 4) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, trees: int = 200, sample: int = 24, keep_good: float = 0.998, seed: int = 4) -> DataFrame:
     """docs (doc_id, text), labels (doc_id, quality) -> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, anomaly."""
-    run, schema = mapper(BASE_FIELDS)
+    run, schema = mapper(FIELDS)
     stats = written(text_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema), "rule-stats")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    taken = by_hash(stats.where(~failed), ["doc_id", *BASE_FIELDS], seed, trees * sample).toPandas()
+    taken = by_hash(stats.where(~failed), ["doc_id", *FIELDS], seed, trees * sample).toPandas()
     counts = ["doc_id", *BASE_FIELDS]
     if not len(taken):
         return stats.select(*counts, failed.alias("base_failed"), (~failed).alias("kept"), F.lit(0.0).alias("anomaly"))
-    model = IsolationForest.fit(features({f: taken[f].to_numpy() for f in BASE_FIELDS}), trees, sample, seed)
-    scored = stats.mapInArrow(*_scorer(model, BASE_FIELDS, counts))
+    model = IsolationForest.fit(features({f: taken[f].to_numpy() for f in FIELDS}), trees, sample, seed)
+    scored = stats.mapInArrow(*_scorer(model, FIELDS, counts))
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     limit = calibrate(scored.where(~failed).join(marks, "doc_id").select("quality", "anomaly"), keep_good)
     verdict = F.lit(True) if limit is None else F.col("anomaly") <= limit
