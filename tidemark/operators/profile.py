@@ -54,8 +54,12 @@ def matrix_profile(series: DataFrame, n: int, m: int, keys: list[str] | None = N
     st = series.where(F.col("i").between(0, n - 1)).select(*keys, F.col("i").cast("bigint").alias("i"), v.alias("v")).withColumns({"mu": F.avg("v").over(frame), "sd": F.stddev_pop("v").over(frame)})
     j = st.select(*keys, F.col("i").alias("j"), F.col("v").alias("vj"), F.col("mu").alias("mj"), F.col("sd").alias("sj"))
     k = st.select(*keys, F.col("i").alias("k"), F.col("v").alias("vk"), F.col("mu").alias("mk"), F.col("sd").alias("sk"))
-    # an equi-join: each value meets its partner on every diagonal that is compared
-    spread = j.crossJoin(F.broadcast(_diagonals(series, n, m, percent, seed))).withColumn("k", F.col("j") - F.col("diag")).where("k >= 0")
+    # each value meets its partner on every diagonal that is compared: an equi-join on the partner's place
+    first = m // 4 + 1
+    spread = j.where(F.col("j") >= first).select("*", F.explode(F.sequence(F.lit(first).cast("bigint"), F.least(F.col("j"), F.lit(length - 1).cast("bigint")))).alias("diag"))
+    if percent < 100:
+        spread = spread.join(F.broadcast(_diagonals(series, n, m, percent, seed)), "diag")  # n numbers at most
+    spread = spread.withColumn("k", F.col("j") - F.col("diag"))
     pair = spread.join(k, [*keys, "k"])
     along = Window.partitionBy(*keys, "diag").orderBy("j").rowsBetween(0, m - 1)
     qt = pair.withColumn("qt", F.sum(F.col("vj") * F.col("vk")).over(along)).where(F.col("j") < length)

@@ -47,7 +47,7 @@ class Ring:
         return cells.withColumn("newest", newest).where(F.col("bucket") > F.col("newest") - self.rows)
 
     def _cells(self, events: DataFrame, ns: str, value: Column) -> DataFrame:
-        """One row per key and time row, old rows dropped early: those behind the key's newest row by far never leave the partial aggregate's key set twice."""
+        """One row per key and time row: partial aggregates before the shuffle, so what moves is time rows, not events. Events without a time, or before the epoch, are in no row."""
         return events.where(F.col(ns).isNotNull() & (F.col(ns) >= 0)).withColumn("bucket", bucket(F.col(ns), self.ns_per_row)).groupBy(*self.keys, "bucket").agg(value.alias("v"))
 
     def add(self, events: DataFrame, ns: str, v: str) -> DataFrame:

@@ -355,6 +355,14 @@ def mp_profile_blocked(spark, sf_dir):
     return profile.matrix_profile_blocked(series(spark, sf_dir), MP_N, MP_M, tasks=8).withColumn("mp", rounded(F.col("mp"), 5))
 
 
+@add("mp_profile_long")
+def mp_profile_long(spark, sf_dir):
+    """The longest series of the reference's benchmark: 11,520 values, windows of 60, all diagonals; rows of 225 seconds."""
+    ring = Ring(11_520, 225_000_000_000)
+    cells = ring.add(events(spark, sf_dir), "ns", "cents")
+    return profile.matrix_profile_blocked(ring.range(cells, None, 11_520).select(F.col("i").cast("bigint").alias("i"), "v"), 11_520, 60, tasks=64).withColumn("mp", rounded(F.col("mp"), 5))
+
+
 @add("mp_profile_by_type")
 def mp_profile_by_type(spark, sf_dir):
     """One profile per event type at once; the keyed form of mp_profile."""
