@@ -205,7 +205,7 @@ class Pairs:
 
 
 #: Bytes of text that are cut and looked up at once.
-CHUNK = 500_000
+CHUNK = 1_000_000
 #: Slices of more bytes than this are merged one by one, by a heap.
 LONG = 64
 
@@ -357,7 +357,7 @@ class Vocabulary:
 class Encoder:
     """Whole texts to ids. The cache holds `most` slices in each of two generations."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
         self.vocabulary, self.most = vocabulary, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
