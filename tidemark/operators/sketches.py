@@ -80,12 +80,16 @@ def merge_sketches(*sketches: DataFrame) -> DataFrame:
     return out.groupBy("d", "w").agg(F.sum("cnt").alias("cnt"))
 
 
-def linear_query(sketch: DataFrame, keys: DataFrame, key: str, shape: Shape, hashes: str = "xxh32") -> DataFrame:
-    """key, estimate. The sketch has depth * width cells at most: broadcast where that is small, joined otherwise."""
-    small = shape.depth * shape.width <= 2_000_000
-    cells = _cells_of(keys.select(key).where(F.col(key).isNotNull()).distinct(), key, shape, hashes)
-    joined = cells.join(F.broadcast(sketch) if small else sketch, ["d", "w"], "left")
-    return joined.groupBy(key).agg(saturate_uint(F.min(F.coalesce("cnt", F.lit(0)))).alias("estimate"))
+def linear_query(sketch: DataFrame, keys: DataFrame, key: str, shape: Shape, hashes: str = "xxh32", groups: list[str] | None = None) -> DataFrame:
+    """groups, key, estimate: the least of a key's cells, by an equi-join.
+
+    One sketch has depth * width cells at most: broadcast where that is small and there is one, joined otherwise.
+    """
+    groups = groups or []
+    small = not groups and shape.depth * shape.width <= 2_000_000
+    cells = _cells_of(keys.select(*groups, key).where(F.col(key).isNotNull()).distinct(), key, shape, hashes)
+    joined = cells.join(F.broadcast(sketch) if small else sketch, [*groups, "d", "w"], "left")
+    return joined.groupBy(*groups, key).agg(saturate_uint(F.min(F.coalesce("cnt", F.lit(0)))).alias("estimate"))
 
 
 def exact_counts(events: DataFrame, key: str, n: str) -> DataFrame:
@@ -130,27 +134,44 @@ class Conservative:
         return before
 
 
+#: d of the rows that hold a conservative sketch's totals: w 0 net items, w 1 unique keys.
+TOTALS = -1
+
+
 class _ConservativeFold:
-    """Updates in, then a row for each key that is asked for."""
+    """Updates in; out come the cells that are not 0, and the totals."""
 
     def __init__(self, shape: Shape):
         self.sketch = Conservative(shape)
-        self.seen: dict[bytes, None] = {}
 
     def add(self, key, n):
-        key = bytes(key)
-        self.seen[key] = None
-        return (self.sketch.update(key, int(n)),)
+        return (self.sketch.update(bytes(key), int(n)),)
 
     def rows(self):
         s = self.sketch
-        return [(k, s.query(k), s.items, s.unique) for k in self.seen]
+        d, w = np.nonzero(s.cells)
+        return [*zip(d.tolist(), w.tolist(), s.cells[d, w].tolist(), strict=True), (TOTALS, 0, int(s.items)), (TOTALS, 1, int(s.unique))]
+
+
+def updates(events: DataFrame, key: str, n: str) -> DataFrame:
+    """events with key__ (binary) and n__ (bigint); rows without either are no updates."""
+    return events.where(F.col(key).isNotNull() & F.col(n).isNotNull()).withColumn("key__", F.col(key).cast("binary")).withColumn("n__", F.col(n).cast("bigint"))
 
 
 def conservative_sketch(events: DataFrame, key: str, n: str, order: str, shape: Shape, groups: list[str] | None = None) -> DataFrame:
-    """groups, key (binary), estimate, items, unique after all updates in order, for every key of the group."""
-    rows = events.where(F.col(key).isNotNull() & F.col(n).isNotNull()).withColumn("key__", F.col(key).cast("binary")).withColumn("n__", F.col(n).cast("bigint"))
-    return ordered_fold(rows, groups or [], [order], ["key__", "n__"], lambda: _ConservativeFold(shape), "key binary, estimate bigint, items bigint, unique bigint")
+    """groups, d, w, cnt after all updates in order: the cells that are not 0, and two rows of totals (d = TOTALS). The state is as large as the sketch, however many keys there are."""
+    return ordered_fold(updates(events, key, n), groups or [], [order], ["key__", "n__"], lambda: _ConservativeFold(shape), "d int, w int, cnt bigint")
+
+
+def conservative_query(sketch: DataFrame, keys: DataFrame, key: str, shape: Shape, groups: list[str] | None = None) -> DataFrame:
+    """groups, key, estimate."""
+    return linear_query(sketch, keys, key, shape, "xxh32", groups)
+
+
+def conservative_totals(sketch: DataFrame, groups: list[str] | None = None) -> DataFrame:
+    """groups, items, unique."""
+    total = lambda w: F.max(F.when(F.col("w") == w, F.col("cnt")))
+    return sketch.where(F.col("d") == TOTALS).groupBy(*(groups or [])).agg(total(0).alias("items"), total(1).alias("unique"))
 
 
 def distinct_exact(df: DataFrame, x: str, keys: list[str] | None = None) -> DataFrame:

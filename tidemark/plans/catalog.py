@@ -474,7 +474,9 @@ def cms_counts(spark, sf_dir):
 @add("cms_conservative_query")
 def cms_conservative_query(spark, sf_dir):
     e = _keyed(spark, sf_dir).withColumn("n", F.expr(SIGNED))
-    return sketches.conservative_sketch(e, "key", "n", "seq", SHAPE, ["event_type"]).withColumn("key", F.col("key").cast("string"))
+    by = ["event_type"]
+    sketch = sketches.conservative_sketch(e, "key", "n", "seq", SHAPE, by)
+    return sketches.conservative_query(sketch, e, "key", SHAPE, by).join(sketches.conservative_totals(sketch, by), by)
 
 
 @add("distinct_exact", "SELECT event_type, count(DISTINCT user_id) AS \"unique\" FROM events GROUP BY 1")

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.scalar import is_finite, nanoseconds
 from ..operators.p2 import Histogram, Quantile, _Rows
 from ..operators.rings import Ring
-from ..operators.sketches import Shape, _ConservativeFold
+from ..operators.sketches import Shape, _ConservativeFold, updates
 from ..plans.monitor import ENTRY_COLUMNS, ENTRY_KEYS, ENTRY_SCHEMA, Entry, Settings
 from ..sources.messages import explode_entries
 
@@ -74,8 +74,8 @@ def stream_histogram(events: DataFrame, x: str, order: str, buckets: int, keys:
 
 
 def stream_sketch(events: DataFrame, key: str, n: str, order: str, shape: Shape, groups: list[str]) -> DataFrame:
-    rows = events.where(F.col(key).isNotNull() & F.col(n).isNotNull()).withColumn("key__", F.col(key).cast("binary")).withColumn("n__", F.col(n).cast("bigint"))
-    return stream_fold(rows, groups, [order], ["key__", "n__"], lambda *k: _ConservativeFold(shape), "key binary, estimate bigint, items bigint, unique bigint")
+    """The sketch's cells and totals after each micro-batch."""
+    return stream_fold(updates(events, key, n), groups, [order], ["key__", "n__"], lambda *k: _ConservativeFold(shape), "d int, w int, cnt bigint")
 
 
 def stream_monitor(messages: DataFrame, settings: Settings = Settings(), hierarchy: list[str] = ["Logger"], exclude: list[str] | None = None) -> DataFrame:
