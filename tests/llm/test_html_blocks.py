@@ -60,6 +60,15 @@ def test_pages_that_mark_no_article():
     assert hb.main_text(page, TREE) == f"{long} one.\n{long} two."
 
 
+def test_the_surest_mark_is_the_article():
+    words = "Some words of a block that nobody marked and that is long enough to look like a paragraph of real text here"
+    assert hb.main_text(f"<body><div class='content'><article><p>Text.</p></article><p>{words}</p></div></body>", TREE) == "Text."
+    assert hb.main_text(f"<body><main><h1>T</h1><p>Text.</p><aside><p>{words}</p></aside></main><p>{words}</p></body>", TREE) == "T\nText."
+    assert hb.main_text(f"<body><div id='content'><h1>T</h1><p>Text.</p><div class='related-posts'><p>{words}</p></div></div></body>", TREE) == "T\nText."
+    assert hb.main_text("<article><p>One <span class='ad'>Buy!</span> two <em hidden>no</em>three</p></article>", TREE) == "One\ntwo\nthree"
+    assert hb.main_text(f"<article class='post with-comments'><p>Text.</p></article><div class='comments'><article><p>{words}</p></article></div>", TREE) == "Text."
+
+
 def test_tree_fits_its_table():
     import numpy as np
 

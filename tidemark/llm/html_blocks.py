@@ -29,7 +29,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-label|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-label|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -40,18 +40,20 @@ ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "
 ENDS_SELF = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select", "datalist"}}
 
 #: What an element says about its contents, by tag.
-TAG_KIND = {"nav": "menu", "menu": "menu", "header": "frame", "footer": "frame", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "dialog": "notice", "article": "article", "main": "article", "figcaption": "article", "head": "frame"}
+ARTICLE_TAGS = {"article": 3, "main": 2}
+TAG_KIND = {"nav": "menu", "menu": "menu", "header": "frame", "footer": "frame", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "dialog": "notice", "head": "frame"}
 #: The same, by words in class, id, role and label.
 WORD_KIND = {
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc tabs skip sitemap",
     "frame": "header footer masthead banner topbar bottombar copyright colophon contentinfo site legal",
     "side": "sidebar aside complementary widget widgets related recommended recommendations trending popular archive archives tags tagcloud blogroll",
     "notice": "cookie cookies consent gdpr notice notices alert alerts popup modal overlay dialog toast warning disclaimer newsletter subscribe subscription signup paywall",
-    "ad": "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner-ad dfp outbrain taboola",
+    "ad": "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner-ad adsbygoogle dfp outbrain taboola",
     "comment": "comment comments commentlist disqus reply replies respondents discussion reader-comments feedback reviews",
     "form": "form search searchbox login signin register share sharing social",
-    "article": "article post-body entry-content article-body content-body story-body main-content articlebody post-content storybody",
 }
+#: Words that mark an article, surely or perhaps; what is marked most surely on a page is its article.
+ARTICLE_WORDS = {w: 3 for w in "articlebody article-body entry-content post-content post-body story-body".split()} | {w: 1 for w in "content article post entry story blog-post".split()}
 KIND_OF_WORD = {w: kind for kind, words in WORD_KIND.items() for w in words.split()}
 #: With one of these words, an element is a layout that has such a part beside others.
 WHOLE = {"with", "has", "no", "open", "closed", "layout"}
@@ -66,7 +68,7 @@ class Block:
     text: str
     words: int
     linked: int
-    in_article: bool
+    level: int  # how surely it lies in the page's article
     unwanted: bool
     heading: bool
     list_item: bool
@@ -76,41 +78,46 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def _kind(tag: str, attributes: str, inside_article: bool) -> str | None:
-    """What an element with these attributes holds, if it says so."""
+def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[str | None, int]:
+    """What an element with these attributes holds, if it says so, and how surely it is an article (0: not at all, to 3)."""
+    level = ARTICLE_TAGS.get(tag, 0)
     if attributes:
         words = []
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value = a or b or c
             name = name.lower()
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return "hidden"
-            if name in ("class", "id", "role", "aria-label") and value:
+                return "hidden", 0
+            if name in ("class", "id", "role", "itemprop", "aria-label") and value:
                 for part in value.split():
                     words.append(part.lower())
                     words += [x.lower() for x in NAME_PART.findall(part)]
+        if tag in ("html", "body"):  # their classes tell of what the page has somewhere
+            return None, 0
+        if "main" in words and tag not in ("article", "nav", "header", "footer", "aside"):
+            level = max(level, 2 if re.search(r"role\s*=\s*[\"']?main", attributes, re.I) else 1)
+        level = max([level, *(ARTICLE_WORDS[w] for w in words if w in ARTICLE_WORDS)])
         kinds = [KIND_OF_WORD[w] for w in words if w in KIND_OF_WORD]
-        if tag in ("html", "body", "main"):  # their classes tell of what the page has somewhere
-            return TAG_KIND.get(tag)
-        if tag == "article":
-            return next((k for k in kinds if k in ("ad", "comment")), "article")
         if not WHOLE.isdisjoint(words):
             kinds = [k for k in kinds if k not in ("side", "comment", "frame")]
+        if tag in ARTICLE_TAGS:
+            kinds = [k for k in kinds if tag == "article" and k in ("ad", "comment")]
         for kind in ("ad", "comment", "notice", "side", "menu", "form"):
             if kind in kinds:
-                return kind
-        if "frame" in kinds and not inside_article and "article" not in kinds:
-            return "frame"
-        if "article" in kinds:
-            return "article"
+                return kind, 0
+        if "frame" in kinds and not inside_article and not level:
+            return "frame", 0
     kind = TAG_KIND.get(tag)
-    return None if tag == "header" and inside_article else kind  # an article's own header has its title
+    return (None if tag == "header" and inside_article else kind), level  # an article's own header has its title
+
+
+NOWHERE = ("", 0, False, False)
 
 
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in order; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in an article, unwanted
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, how surely in an article, unwanted, whether its text is a block of its own
     parts: list[str] = []
     linked: list[str] = []
     anchors = 0
@@ -120,9 +127,9 @@ def blocks(html: str) -> list[Block]:
             text = SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
                 links = sum(len(unescape(x).split()) for x in linked)
-                tags = [t for t, _, _ in stack[-6:]]
-                _, article, unwanted = stack[-1] if stack else ("", False, False)
-                out.append(Block(text, len(text.split()), links, article, unwanted, any(t in HEADINGS for t in tags), any(t in ("li", "dd", "dt") for t in tags)))
+                tags = [t for t, *_ in stack[-6:]]
+                _, level, unwanted, _ = stack[-1] if stack else NOWHERE
+                out.append(Block(text, len(text.split()), links, level, unwanted, any(t in HEADINGS for t in tags), any(t in ("li", "dd", "dt") for t in tags)))
             parts.clear()
         linked.clear()
 
@@ -156,6 +163,8 @@ def blocks(html: str) -> list[Block]:
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    if any(own for *_, own in stack[i:]):
+                        flush()
                     pop(i)
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
@@ -177,11 +186,14 @@ def blocks(html: str) -> list[Block]:
                     break
                 if stack[i][0] in ENDS_SELF[tag] or stack[i][0] == "table":
                     break
-        _, article, unwanted = stack[-1] if stack else ("", False, False)
-        kind = _kind(tag, m[4].strip(), article) if tag not in INLINE or m[4] else None
+        _, level, unwanted, _ = stack[-1] if stack else NOWHERE
+        kind, sure = _kind(tag, m[4].strip(), level > 0) if tag not in INLINE or m[4] else (None, 0)
+        own = tag in INLINE and kind in KINDS  # an inline advert, say
+        if own:
+            flush()
         if tag == "a":
             anchors += 1
-        stack.append((tag, article or kind == "article", unwanted or kind in KINDS))
+        stack.append((tag, max(level, sure), unwanted or kind in KINDS, own))
     if at < len(html):
         parts.append(html[at:])
         if anchors:
@@ -191,12 +203,13 @@ def blocks(html: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """FEATURES of each block."""
+    """FEATURES of each block. In the article is what the page marks most surely."""
     n = len(found)
+    most = max((b.level for b in found if not b.unwanted), default=0)
     words = np.array([b.words for b in found], float)
     links = np.array([b.links for b in found], float)
     zero = np.zeros(1)
-    article = np.array([b.in_article and not b.unwanted for b in found], float)
+    article = np.array([0 < most == b.level and not b.unwanted for b in found], float)
     return np.column_stack([
         words, links, np.concatenate((zero, words[:-1])), np.concatenate((zero, links[:-1])), np.concatenate((words[1:], zero)), np.concatenate((links[1:], zero)),
         article, np.array([b.unwanted for b in found], float), np.array([b.heading for b in found], float), np.array([b.list_item for b in found], float), np.full(n, article.max() if n else 0),

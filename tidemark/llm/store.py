@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of rows that go to a Python worker at once (a longer row goes alone).
 BATCH_BYTES = 4 << 20
+#: Rows of texts that a scan decodes at once.
+SCAN_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_map(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow() in batches that are bounded by bytes, so that neither long texts nor many rows fill a worker's memory.
 
-    The bound is a setting of the session.
+    Scans read fewer rows at once, too: thousands of texts in one column vector make very large objects, which
+    a heap has to grow for. Both are settings of the session.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)
     return df.mapInArrow(run, schema)
 
 
