@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions.scalar import cyclic_slot, nanoseconds
-from ..operators import hitters, p2, profile, running, sketches
+from ..operators import hitters, p2, profile, running, sketches, states
 from ..operators.matrices import Matrix
 from ..operators.rings import Ring
 from ..session import table
@@ -540,6 +540,25 @@ def codec_roundtrip(spark, sf_dir):
     return read.select("event_type", F.col("s.error").alias("error"), "bytes", F.col("s.count").alias("count"), rounded(F.col("s.mean")).alias("avg"), rounded(F.coalesce(F.try_divide(F.col("s.m2"), F.col("s.count") - 1), F.lit(0.0)), 2).alias("variance"), F.col("short.error").alias("short_error"))
 
 
+@add("state_resumed_quantile", _markers_sql(p2_sql(BY_TYPE, p=0.75), 5))
+def state_resumed_quantile(spark, sf_dir):
+    """States of the events so far, then the rest of the events from them."""
+    e = _cents(spark, sf_dir)
+    half = states.quantile_state(e.where("event_id < 400"), "x", "seq", 0.75, ["event_type"])
+    whole = states.quantile_state(e.where("event_id >= 400"), "x", "seq", 0.75, ["event_type"], half)
+    return states.markers(whole, ["event_type"], lambda b: codecs.unpack_quantile(b, 0.75)).withColumn("estimate", rounded(F.col("estimate"), 4))
+
+
+@add("state_ring", f"SELECT event_type, bucket, v, newest FROM {RING} WHERE v <> 0")
+def state_ring(spark, sf_dir):
+    return states.ring_from_state(states.ring_state(hourly(spark, sf_dir), HOURLY), HOURLY)
+
+
+@add("state_matrix", f"SELECT CAST(a AS INT) AS r, CAST(b AS INT) AS c, coalesce(v, 0) AS v FROM (SELECT unnest(range(20)) AS a), (SELECT unnest(range(24)) AS b) LEFT JOIN {M_INT} ON r = a AND c = b")
+def state_matrix(spark, sf_dir):
+    return states.matrix_from_state(states.matrix_state(int_matrix(spark, sf_dir), USERS_BY_HOUR), USERS_BY_HOUR)
+
+
 # ---- messages and the monitor
 
 SETTINGS = mon.Settings(samples=25, alert_submissions=50, many=100, duplicate_change=0.5)
