@@ -125,3 +125,44 @@ class Ring:
         """Source rows overwrite, zeros too."""
         both = ring.select(*self.keys, F.lit(-1).cast("bigint").alias("part"), "bucket", "v").unionByName(self._moved(source, of))
         return self._trim(both.groupBy(*self.keys, "bucket").agg(F.max_by("v", "part").alias("v")))
+
+
+class RingFold:
+    """One key's ring as bounded state, fed in arrival order: every add saturates, and rows that came too late are counted.
+
+    For streams of series that advance at their own pace: each has its own newest row, where a watermark is one for all.
+    """
+
+    def __init__(self, ring: Ring):
+        self.ring = ring
+        self.newest = ring.rows - 1
+        self.cells: dict[int, int] = {}
+        self.late = 0
+
+    def add(self, ns: int, v: int | None) -> tuple[int | None]:
+        """The row's value after the add; none for a row that the ring no longer holds."""
+        b = ns // self.ring.ns_per_row
+        if b > self.newest:
+            self.newest = b
+            self.cells = {k: x for k, x in self.cells.items() if k > b - self.ring.rows}
+        if b <= self.newest - self.ring.rows:
+            self.late += 1
+            return (None,)
+        self.cells[b] = max(INT_MIN, min(INT_MAX, self.cells.get(b, 0) + (v or 0)))
+        return (self.cells[b],)
+
+    def rows(self):
+        return [(b, v, self.newest, self.late) for b, v in sorted(self.cells.items())]
+
+
+def ring_prefix(events: DataFrame, ring: Ring, ns: str, v: str, order: str) -> DataFrame:
+    """keys, the order column, value: what each add returns, in arrival order; null for late events."""
+    from .folds import ordered_fold
+
+    class Each(RingFold):
+        def add(self, seq, at, x):
+            return seq, *RingFold.add(self, at, x)
+
+    rows = events.where(F.col(ns).isNotNull() & (F.col(ns) >= 0)).withColumn("ns__", F.col(ns).cast("bigint")).withColumn("v__", F.col(v).cast("bigint"))
+    kind = events.schema[order].dataType.simpleString()
+    return ordered_fold(rows, list(ring.keys), [order], [order, "ns__", "v__"], lambda: Each(ring), f"`{order}` {kind}, value int", emit_each=True)

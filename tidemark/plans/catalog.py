@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions.scalar import cyclic_slot, nanoseconds
-from ..operators import hitters, p2, profile, running, sketches, states
+from ..operators import hitters, p2, profile, rings, running, sketches, states
 from ..operators.matrices import Matrix
 from ..operators.rings import Ring
 from ..session import table
@@ -126,6 +126,13 @@ def ts_ring_set_late(spark, sf_dir):
     return HOURLY.set(events(spark, sf_dir), "ns", "cents", "seq_late")
 
 
+@add("ts_add_prefix", f"""SELECT event_type, seq, CAST(CASE WHEN hour > m - 168 THEN sum(cents) OVER (PARTITION BY event_type, hour ORDER BY seq_late) END AS INT) AS value
+ FROM (SELECT *, greatest(max(hour) OVER (PARTITION BY event_type ORDER BY seq_late), 167) AS m FROM {EVENTS})""")
+def ts_add_prefix(spark, sf_dir):
+    """What every add returns, events coming late: null once the ring has moved on."""
+    return rings.ring_prefix(events(spark, sf_dir), HOURLY, "ns", "cents", "seq_late").join(events(spark, sf_dir).select("seq", "seq_late"), "seq_late").select("event_type", "seq", "value")
+
+
 BIG = "CASE WHEN event_id % 3 = 0 THEN -cents ELSE cents END * 60000"
 
 
@@ -623,6 +630,12 @@ def stream_ring(spark, sf_dir):
     return processors.trim_ring(sums, HOURLY)
 
 
+@add("stream_ring_keyed", f"SELECT event_type, bucket, v, newest, CAST(0 AS BIGINT) AS late FROM {RING}")
+def stream_ring_keyed(spark, sf_dir):
+    e = _stream(spark, sf_dir).withColumns({"cents": F.round(F.col("value") * 100).cast("bigint"), "ns": nanoseconds("ts")})
+    return processors.to_present(processors.stream_ring_keyed(e, "ns", "cents", "event_id", HOURLY), ["event_type"])
+
+
 @add("stream_p2_quantile", _markers_sql(p2_sql(BY_TYPE, p=0.75), 5))
 def stream_p2_quantile(spark, sf_dir):
     e = _stream(spark, sf_dir).withColumn("x", F.round(F.col("value") * 100).cast("bigint").cast("double"))

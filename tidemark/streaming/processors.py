@@ -18,7 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalar import is_finite, nanoseconds
 from ..operators.p2 import Histogram, Quantile, _Rows
-from ..operators.rings import Ring
+from ..operators.rings import Ring, RingFold
 from ..operators.sketches import Shape, _ConservativeFold, updates
 from ..plans.monitor import ENTRY_COLUMNS, ENTRY_KEYS, ENTRY_SCHEMA, Entry, Settings
 from ..sources.messages import explode_entries
@@ -98,6 +98,12 @@ def stream_ring(events: DataFrame, ts: str, v: str, ring: Ring) -> DataFrame:
     return sums.select(*ring.keys, F.call_function("div", start, F.lit(ring.ns_per_row).cast("bigint")).alias("bucket"), "total")
 
 
+def stream_ring_keyed(events: DataFrame, ns: str, v: str, order: str, ring: Ring) -> DataFrame:
+    """keys, bucket, v, newest, late after each micro-batch: a ring per key as state, exact for series that advance at their own pace."""
+    rows = events.where(F.col(ns).isNotNull() & (F.col(ns) >= 0)).withColumn("ns__", F.col(ns).cast("bigint")).withColumn("v__", F.col(v).cast("bigint"))
+    return stream_fold(rows, list(ring.keys), [order], ["ns__", "v__"], lambda *k: RingFold(ring), "bucket bigint, v int, newest bigint, late bigint")
+
+
 def trim_ring(sums: DataFrame, ring: Ring) -> DataFrame:
     """What stream_ring() wrote, as a ring: the batch operator's columns."""
     from ..functions.scalar import saturate_int
