@@ -15,8 +15,8 @@ from tidemark.llm import language, near_dedup, packing, toxicity
 from tidemark.llm.store import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose language is less certain than this goes, as do those without a letter.
-LEAST_CONFIDENCE = 0.4
+#: A document whose language is less certain than this goes, as do those without a letter. Low, since a foreign passage in a sound document leaves two likely languages.
+LEAST_CONFIDENCE = 0.3
 #: A document with at least this toxicity score goes.
 TOXIC = 0.5
 
