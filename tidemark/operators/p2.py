@@ -8,7 +8,6 @@ values are skipped. Until every marker has an observation there is no estimate.
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_right
 
 import numpy as np
@@ -168,7 +167,3 @@ def mergeable_percentiles(df: DataFrame, x: str, shares: list[float], keys: list
     """keys, p, value by mergeable summaries: the scalable order-free form, partial aggregates first; rank error at most 1 / accuracy."""
     got = _finite(df, x).groupBy(*(keys or [])).agg(F.percentile_approx("x__", [float(p) for p in shares], accuracy).alias("q"))
     return got.select(*(keys or []), F.explode(F.arrays_zip(F.array(*(F.lit(p) for p in shares)).alias("p"), F.col("q").alias("value"))).alias("z")).select(*(keys or []), "z.p", "z.value")
-
-
-def is_close(a: float | None, b: float | None) -> bool:
-    return a is b or a is not None and b is not None and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)
