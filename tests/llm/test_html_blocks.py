@@ -81,6 +81,15 @@ def test_broken_pages_do_not_fail(page):
     assert hb.main_text(page, TREE) in ("", "<", "<p", "<<>>", "<!--", "<a href='", "&", "\x00")
 
 
+@pytest.mark.parametrize("page", ["<a '" * 50000, '<a b="' * 50001, "<div>" * 50000 + "</section>" * 50000 + "x", "<b>" * 50000 + "<p>x" * 50000, "<!--" * 50000, "<script>" * 50000, "&lt;" * 50000, "<ul><li>" * 30000 + "x"])
+def test_broken_pages_take_little_time(page):
+    import time
+
+    began = time.process_time()
+    hb.main_text(page, TREE)
+    assert time.process_time() - began < 10
+
+
 def test_odd_rows(spark):
     rows = [(1, "u", ARTICLE, "t", 1), (1, "u", ARTICLE, "t", 1), (None, None, None, None, None), (2, "u", "", "t", 1), (3, None, "<article><p>" + "word " * 100000 + "</article>", "t", 1)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars int")

@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from .kernel import batch_of
 from .store import text_map
 
+#: A tag's inside: possessive, and of so many parts at most that unclosed tags cost little.
+INSIDE = r"""((?:[^>"']++|"[^"]*+"|'[^']*+'){0,400}+)"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|title)\b" + INSIDE + r">.*?(?:</\1\s*[^>]*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)" + INSIDE + r">|<[!?][^>]*>?",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-label|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -121,6 +123,7 @@ def blocks(html: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     anchors = 0
+    opened: dict[str, int] = {}
 
     def flush() -> None:
         if parts:
@@ -136,7 +139,9 @@ def blocks(html: str) -> list[Block]:
     def pop(to: int) -> None:
         nonlocal anchors
         while len(stack) > to:
-            if stack.pop()[0] == "a":
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            if tag == "a":
                 anchors -= 1
 
     at = 0
@@ -147,10 +152,8 @@ def blocks(html: str) -> list[Block]:
             if anchors:
                 linked.append(raw)
         at = m.end()
-        tag = m[3]
-        if not tag:
-            if m[1]:  # raw text that is no part of the page's text
-                continue
+        tag = m[4]
+        if not tag:  # a comment, or raw text that is no part of the page's text
             continue
         tag = tag.lower()
         if tag == "br" or tag not in INLINE:
@@ -160,7 +163,9 @@ def blocks(html: str) -> list[Block]:
             flush()
         elif tag in ("img", "wbr"):
             continue
-        if m[2]:
+        if m[3]:
+            if not opened.get(tag):
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if any(own for *_, own in stack[i:]):
@@ -187,12 +192,13 @@ def blocks(html: str) -> list[Block]:
                 if stack[i][0] in ENDS_SELF[tag] or stack[i][0] == "table":
                     break
         _, level, unwanted, _ = stack[-1] if stack else NOWHERE
-        kind, sure = _kind(tag, m[4].strip(), level > 0) if tag not in INLINE or m[4] else (None, 0)
+        kind, sure = _kind(tag, m[5].strip(), level > 0) if tag not in INLINE or m[5] else (None, 0)
         own = tag in INLINE and kind in KINDS  # an inline advert, say
         if own:
             flush()
         if tag == "a":
             anchors += 1
+        opened[tag] = opened.get(tag, 0) + 1
         stack.append((tag, max(level, sure), unwanted or kind in KINDS, own))
     if at < len(html):
         parts.append(html[at:])
