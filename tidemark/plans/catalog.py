@@ -370,10 +370,19 @@ def mp_profile_long(spark, sf_dir):
     return profile.matrix_profile_blocked(ring.range(cells, None, 11_520).select(F.col("i").cast("bigint").alias("i"), "v"), 11_520, 60, tasks=64).withColumn("mp", rounded(F.col("mp"), 5))
 
 
-@add("mp_profile_by_type")
+MP_TYPE_SQL = f"""WITH w AS (SELECT event_type, i, CAST(v AS DOUBLE) AS v, avg(v) OVER f AS mu, stddev_pop(v) OVER f AS sd FROM {FULL} WINDOW f AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN CURRENT ROW AND {MP_M - 1} FOLLOWING)),
+ p AS (SELECT a.event_type, a.i AS j, b.i AS k, a.i - b.i AS g, a.mu AS mj, b.mu AS mk, a.sd AS sj, b.sd AS sk, a.v * b.v AS vv FROM w a JOIN w b ON a.event_type = b.event_type AND a.i - b.i > {MP_M // 4} WHERE a.i - b.i < {MP_N - MP_M + 1}),
+ q AS (SELECT *, sum(vv) OVER (PARTITION BY event_type, g ORDER BY j ROWS BETWEEN CURRENT ROW AND {MP_M - 1} FOLLOWING) AS qt FROM p),
+ d AS (SELECT event_type, j, k, 2 * ({MP_M} - (qt - {MP_M} * mj * mk) / nullif(sj * sk, 0)) AS d FROM q WHERE j < {MP_N - MP_M + 1}),
+ u AS (SELECT event_type, j AS i, d FROM d WHERE d IS NOT NULL UNION ALL SELECT event_type, k, d FROM d WHERE d IS NOT NULL)
+ SELECT w.event_type, w.i, round(sqrt(abs(min(u.d))), 3) AS mp FROM w LEFT JOIN u ON u.event_type = w.event_type AND u.i = w.i WHERE w.i < {MP_N - MP_M + 1} GROUP BY ALL"""
+
+
+@add("mp_profile_by_type", MP_TYPE_SQL)
 def mp_profile_by_type(spark, sf_dir):
-    """One profile per event type at once; the keyed form of mp_profile."""
-    return profile.matrix_profile(HOURLY.range(hourly(spark, sf_dir), None, MP_N).select("event_type", "i", "v"), MP_N, MP_M, ["event_type"]).withColumn("mp", rounded(F.col("mp"), 5))
+    """One profile per event type at once: the keyed form; null where a window has no neighbour."""
+    p = profile.matrix_profile(HOURLY.range(hourly(spark, sf_dir), None, MP_N).select("event_type", "i", "v"), MP_N, MP_M, ["event_type"])
+    return p.select("event_type", "i", rounded(F.when(F.col("mp") < float("inf"), F.col("mp")), 3).alias("mp"))
 
 
 @add("mp_profile_sampled")
@@ -597,6 +606,12 @@ def monitor_schema(spark, sf_dir):
     return _monitored(spark, sf_dir).select(F.array_join("path", "->").alias("path"), "kind", "name", "cnt", "value_type", "representation", "subtype", "created", "updated", "cint", "report")
 
 
+@add("monitor_entries", f"""SELECT event_type AS path, kind, name, count(*) AS cnt, any_value(code) AS value_type, coalesce(arg_min(ns, seq) FILTER (kind = 'field'), 0) AS created, max(ns) AS updated FROM (
+ SELECT event_type, seq, ns, 'header' AS kind, 'Pid' AS name, CAST(NULL AS INT) AS code FROM {EVENTS} UNION ALL SELECT event_type, seq, ns, 'field', unnest(['value', 'user_id', 'props']), unnest([3, 2, 0]) FROM {EVENTS}) GROUP BY event_type, kind, name""")
+def monitor_entries(spark, sf_dir):
+    return _monitored(spark, sf_dir).select(F.array_join("path", "->").alias("path"), "kind", "name", "cnt", "value_type", "created", "updated")
+
+
 @add("monitor_set_counts", f"""WITH e AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY seq) AS rn FROM {EVENTS}),
  early AS (SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS d FROM e WHERE rn <= 255 GROUP BY 1), c AS (SELECT event_type, CAST(user_id AS VARCHAR) AS value, count(*) AS cnt FROM e GROUP BY ALL)
  SELECT event_type AS path, 'field' AS kind, 'user_id' AS name, value, cnt FROM c JOIN early USING (event_type) WHERE n = 255 AND n >= 2 * d
