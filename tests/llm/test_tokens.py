@@ -162,3 +162,20 @@ def test_packs_odd_rows(spark, odd_docs):
     assert sum(r["length"] for r in got) == sum(len(TOKENIZER.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in odd_docs.collect())
     assert all(len(r["ids"]) == 4 * r["length"] for r in got)
     assert packing.pack(odd_docs.limit(0), JSON).collect() == []
+
+
+def test_queries_find_the_added_tokens(spark, tmp_path):
+    """The unmodified library: its file's added tokens count inside texts, even with add_special_tokens=False."""
+    import corpus_pipeline
+
+    library = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "it's  <|endoftext|>'s\n", "<|endoftext|", "<|<|endoftext|>|>", "", "plain words only", "wörter <|endoftext|> 中文 " * 400]
+    docs = [(i, library.encode(t, add_special_tokens=False).ids + [0]) for i, t in enumerate(texts)]
+    assert docs[0][1] == [64, 220, 50256, 275, 0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert check_packing(op10_packing(spark, str(tmp_path)).collect(), docs) == 0
+    assert check_packing(corpus_pipeline.pack(spark, df, str(tmp_path)).collect(), docs) == 0
+    encoder = bb.encoder_of("json", open(JSON, "rb").read(), added=True)
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert encoder.vocabulary.decode(np.frombuffer(ids, "<u4")).decode() == t

@@ -7,8 +7,9 @@ blocked prefix scan over a small table of composed functions gives the state bef
 and with it every boundary. The slices between boundaries are looked up in a bounded cache; slices that
 are new to it are merged together, as rows of a matrix, lowest rank first and leftmost first.
 
-Defined results: null and empty texts have no ids; equal texts have equal ids; lone special-token
-strings are ordinary text. Ties of rank go to the leftmost pair.
+Defined results: null and empty texts have no ids; equal texts have equal ids; special-token strings are
+ordinary text, unless an encoder is asked for the added tokens of its file: then texts are cut at them, and what lies
+between is encoded by itself. Ties of rank go to the leftmost pair.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -213,15 +215,16 @@ LONG = 64
 class Vocabulary:
     """Ids of bytes, pairs that merge, and the bytes of each id with their offsets."""
 
-    def __init__(self, tokens: dict[bytes, int], pairs: Iterable[tuple[bytes, bytes, int]], whole: bool, unicode: int):
-        """pairs: left, right and rank of each merge; whole: a slice that is a token needs no merging; unicode: of the classes."""
+    def __init__(self, tokens: dict[bytes, int], pairs: Iterable[tuple[bytes, bytes, int]], whole: bool, unicode: int, added: dict[str, int] | None = None):
+        """pairs: left, right and rank of each merge; whole: a slice that is a token needs no merging; unicode: of the classes; added: tokens at which texts are cut."""
         self.unicode = unicode
+        self.added = added or {}
         self.ids = tokens if whole else {}
         self.byte_ids = np.array([tokens[bytes([b])] for b in range(256)], np.int32)
         pairs = list(pairs)
         self.pairs = Pairs(*(np.array(x, np.int64) for x in zip(*((tokens[a], tokens[b], r, tokens[a + b]) for a, b, r in pairs), strict=True)))
         self.pair_rank = {(tokens[a], tokens[b]): (r, tokens[a + b]) for a, b, r in pairs}
-        by_id = {i: t for t, i in tokens.items()}
+        by_id = {i: t for t, i in tokens.items()} | {i: t.encode() for t, i in self.added.items()}
         size = max(by_id) + 1
         self.lengths = np.array([len(by_id.get(i, b"")) for i in range(size)], np.int64)
         self.offsets = np.concatenate(([0], np.cumsum(self.lengths)))
@@ -235,9 +238,13 @@ class Vocabulary:
         return cls(tokens, pairs, whole=True, unicode=16)
 
     @classmethod
-    def from_json(cls, data: bytes) -> Vocabulary:
-        """The text of a byte-level BPE tokenizer.json: its vocabulary and its list of merges."""
-        model = json.loads(data)["model"]
+    def from_json(cls, data: bytes, added: bool = False) -> Vocabulary:
+        """The text of a byte-level BPE tokenizer.json: its vocabulary and its list of merges; added: its added tokens, too."""
+        file = json.loads(data)
+        model = file["model"]
+        extra = (file.get("added_tokens") or []) if added else []
+        if any(t.get(k) for t in extra for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on what stands beside them are not supported")
         to_byte = {}
         spare = 0
         for b in range(256):  # printable bytes stand for themselves, the rest for code points from 256
@@ -251,7 +258,7 @@ class Vocabulary:
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         pairs = [(raw[a], raw[b], r) for r, (a, b) in enumerate(merges)]
         tokens = {t: i for t, i in tokens.items() if not (t.startswith(b"<|") and t.endswith(b"|>") and len(t) > 4)} | {bytes([b]): tokens[bytes([b])] for b in range(256)}
-        return cls(tokens, pairs, whole=False, unicode=15)
+        return cls(tokens, pairs, whole=False, unicode=15, added={t["content"]: t["id"] for t in extra})
 
     def merge_long(self, slice_: bytes) -> list[int]:
         """One slice, by a heap of pairs over a linked list."""
@@ -361,6 +368,8 @@ class Encoder:
         self.vocabulary, self.most = vocabulary, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        added = sorted(vocabulary.added, key=len, reverse=True)  # the leftmost, and of those that begin there the longest
+        self.cuts = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
 
     def _ids(self, slices: list[str]) -> list[bytes]:
         """The ids of distinct slices, from the cache or merged now."""
@@ -380,7 +389,15 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers.
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        if self.cuts is None:
+            return self._encode_plain(texts)
+        parts = [self.cuts.split(t) for t in texts]  # plain text and added tokens by turns
+        plain = iter(self._encode_plain([x for p in parts for x in p[::2]]))
+        return [b"".join(self.vocabulary.added[x].to_bytes(4, "little") if i % 2 else next(plain) for i, x in enumerate(p)) for p in parts]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        """encode() of texts in which no added token is looked for.
 
         Slices that occur again in these texts are told by a 64-bit hash, so that each is looked up once.
         """
@@ -411,11 +428,11 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder_of(kind: str, data: bytes) -> Encoder:
-    """One encoder for each vocabulary in a Python worker."""
-    key = (kind, hashlib.sha256(data).digest())
+def encoder_of(kind: str, data: bytes, added: bool = False) -> Encoder:
+    """One encoder for each vocabulary in a Python worker. added: with the added tokens of a JSON file."""
+    key = (kind, added, hashlib.sha256(data).digest())
     if key not in _encoders:
-        _encoders[key] = Encoder(Vocabulary.from_ranks(data) if kind == "ranks" else Vocabulary.from_json(data))
+        _encoders[key] = Encoder(Vocabulary.from_ranks(data) if kind == "ranks" else Vocabulary.from_json(data, added))
     return _encoders[key]
 
 

@@ -129,8 +129,11 @@ def _cut(piece: Piece, room: int) -> tuple[Piece, Piece | None]:
     return (doc, start, ids[: room * 4], total), (doc, start + room, ids[room * 4 :], total)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0, most_open: int = 2048, with_ids: bool = True) -> DataFrame:
-    """docs (doc_id, text) -> a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids (little-endian unsigned 32-bit)."""
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0, most_open: int = 2048, with_ids: bool = True, added: bool = False) -> DataFrame:
+    """docs (doc_id, text) -> a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids (little-endian unsigned 32-bit).
+
+    added: the file's added tokens are found in texts, as its library does; else their strings are ordinary text.
+    """
     with open(tokenizer_path, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't follow the data
     longs = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -138,7 +141,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of("json", data.value)
+        encoder = encoder_of("json", data.value, added)
         packer = Packer(size, most_open)
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
