@@ -96,3 +96,16 @@ def test_odd_rows(spark):
     got = sorted((r["page_id"] or 0, len(r["text"]), r["n_chars"]) for r in hb.extract(df).collect())
     assert got == [(0, 0, 0), (1, len(TEXT), len(TEXT)), (1, len(TEXT), len(TEXT)), (2, 0, 0), (3, 499999, 499999)]
     assert hb.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("empty", ["<svg class=\"i\"/>", "<math/>", "<SVG viewBox='0 0 1 1' />", "<svg a=\"b=c\"/>"])
+def test_self_closed_elements_are_empty(empty):
+    assert hb.main_text(f"<article><p>one{empty} two</p>{empty}<p>three</p></article>", TREE) == "one two\nthree"
+    assert hb.main_text(f"<article><p>one</p>{empty}<p>two</p><svg><title>no</title></svg><p>three</p></article>", TREE) == "one\ntwo\nthree"
+
+
+def test_a_slash_closes_raw_elements_in_xhtml_only():
+    body = "<article><p>one</p><script src='x'/><p>two</p><iframe src='x' /><p>three</p></article>"
+    assert hb.main_text(f"<?xml version='1.0'?><html xmlns='http://www.w3.org/1999/xhtml'><head><title/></head><body>{body}</body></html>", TREE) == "one\ntwo\nthree"
+    assert hb.main_text(f"<html><body>{body}</body></html>", TREE) == "one"
+    assert hb.main_text("<article><p>one</p><svg width=5/>no</svg><p>two</p></article>", TREE) == "one\ntwo"  # the slash is the value's

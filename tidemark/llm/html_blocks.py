@@ -26,11 +26,14 @@ from .store import text_map
 
 #: A tag's inside: possessive, and of so many parts at most that unclosed tags cost little.
 INSIDE = r"""((?:[^>"']++|"[^"]*+"|'[^']*+'){0,400}+)"""
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|title)\b" + INSIDE + r">.*?(?:</\1\s*[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)" + INSIDE + r">|<[!?][^>]*>?",
-    re.S | re.I,
-)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)" + INSIDE + r">|<[!?][^>]*>?", re.S)
+#: Elements whose contents are no part of the page's text, and where they end.
+RAW = re.compile(r"(?:script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|title)\b", re.I)
+RAW_END = {x: re.compile(rf"</{x}\s*[^>]*>", re.I) for x in RAW.pattern[3:-3].split("|")}
+QUOTED = re.compile("\"[^\"]*\"|'[^']*'")
+#: The end of a tag's inside that is a value without quotes: a slash there belongs to the value.
+BARE_VALUE = re.compile(r'=\s*[^\s"]\S*\Z')
+XHTML = re.compile(r"\s*<\?xml\b|<!doctype[^>]*\bxhtml\b|<html\b[^>]*\bxmlns\b", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-label|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -113,6 +116,10 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[str | None,
     return (None if tag == "header" and inside_article else kind), level  # an article's own header has its title
 
 
+def _self_closed(inside: str) -> bool:
+    return inside.endswith("/") and not BARE_VALUE.search(QUOTED.sub('""', inside))
+
+
 NOWHERE = ("", 0, False, False)
 
 
@@ -144,15 +151,22 @@ def blocks(html: str) -> list[Block]:
             if tag == "a":
                 anchors -= 1
 
-    at = 0
-    for m in TOKEN.finditer(html):
+    at = look = 0
+    xhtml = XHTML.search(html[:2000]) is not None
+    while m := TOKEN.search(html, look):
+        tag, inside, look = m[2], m[3], m.end()
         if m.start() > at:
             raw = html[at : m.start()]
             parts.append(raw)
             if anchors:
                 linked.append(raw)
-        at = m.end()
-        tag = m[4]
+        if tag and not m[1] and (name := RAW.match(tag)):  # it ends with the page, if nowhere else
+            name = name[0].lower()
+            if not ((xhtml or name in ("svg", "math")) and _self_closed(inside)):
+                end = RAW_END[name].search(html, look)
+                look = end.end() if end else len(html)
+            tag = None
+        at = look
         if not tag:  # a comment, or raw text that is no part of the page's text
             continue
         tag = tag.lower()
@@ -163,7 +177,7 @@ def blocks(html: str) -> list[Block]:
             flush()
         elif tag in ("img", "wbr"):
             continue
-        if m[3]:
+        if m[1]:
             if not opened.get(tag):
                 continue
             for i in range(len(stack) - 1, -1, -1):
@@ -192,7 +206,7 @@ def blocks(html: str) -> list[Block]:
                 if stack[i][0] in ENDS_SELF[tag] or stack[i][0] == "table":
                     break
         _, level, unwanted, _ = stack[-1] if stack else NOWHERE
-        kind, sure = _kind(tag, m[5].strip(), level > 0) if tag not in INLINE or m[5] else (None, 0)
+        kind, sure = _kind(tag, inside.strip(), level > 0) if tag not in INLINE or inside else (None, 0)
         own = tag in INLINE and kind in KINDS  # an inline advert, say
         if own:
             flush()
