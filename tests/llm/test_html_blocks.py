@@ -109,3 +109,15 @@ def test_a_slash_closes_raw_elements_in_xhtml_only():
     assert hb.main_text(f"<?xml version='1.0'?><html xmlns='http://www.w3.org/1999/xhtml'><head><title/></head><body>{body}</body></html>", TREE) == "one\ntwo\nthree"
     assert hb.main_text(f"<html><body>{body}</body></html>", TREE) == "one"
     assert hb.main_text("<article><p>one</p><svg width=5/>no</svg><p>two</p></article>", TREE) == "one\ntwo"  # the slash is the value's
+
+
+@pytest.mark.parametrize("n", [199, 200, 201, 5000])
+def test_tags_of_many_attributes(n):
+    many = " ".join(f'data-a{i}="{i} > 0"' for i in range(n))
+    page = f"<article {many}><p {many}>one</p><script {many}>var no = 1</script><div {many} class='ad'>Buy!</div><p {many} hidden>no</p><p>two</p></article>"
+    assert hb.main_text(page, TREE) == "one\ntwo"
+
+
+@pytest.mark.parametrize("page", ["<a '" * 50000 + "\">", "<a '\"" * 50001 + ">", "<a b='" * 50001 + ">"])
+def test_unclosed_quotes_take_little_time(page):
+    test_broken_pages_take_little_time(page)

@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from .kernel import batch_of
 from .store import text_map
 
-#: A tag's inside: possessive, and of so many parts at most that unclosed tags cost little.
+#: A tag's inside: possessive, and of so many parts at most that unclosed tags cost little. Tags of more parts are left to TagEnds.
 INSIDE = r"""((?:[^>"']++|"[^"]*+"|'[^']*+'){0,400}+)"""
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)" + INSIDE + r">|<[!?][^>]*>?", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)(?:" + INSIDE + r"(>))?|<[!?][^>]*>?", re.S)
 #: Elements whose contents are no part of the page's text, and where they end.
 RAW = re.compile(r"(?:script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|title)\b", re.I)
 RAW_END = {x: re.compile(rf"</{x}\s*[^>]*>", re.I) for x in RAW.pattern[3:-3].split("|")}
+DELIMITER = re.compile("[>\"']")
 QUOTED = re.compile("\"[^\"]*\"|'[^']*'")
 #: The end of a tag's inside that is a value without quotes: a slash there belongs to the value.
 BARE_VALUE = re.compile(r'=\s*[^\s"]\S*\Z')
@@ -116,6 +117,35 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[str | None,
     return (None if tag == "header" and inside_article else kind), level  # an article's own header has its title
 
 
+class TagEnds:
+    """Where tags close, whatever their number of parts: the first > outside quotes. All calls together read the page once or twice."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.dead: set[int] = set()  # outside quotes at one of these there is no end
+        self.seen = (1, 0)  # between these two, the second is the next delimiter
+
+    def _delimiter(self, at: int) -> int:
+        if not self.seen[0] <= at <= self.seen[1]:
+            m = DELIMITER.search(self.html, at)
+            self.seen = (at, m.start() if m else len(self.html))
+        return self.seen[1]
+
+    def find(self, at: int) -> int:
+        """The place of the > that closes a tag whose inside begins at `at`; -1: none does."""
+        passed = []
+        while at >= 0 and at not in self.dead:
+            passed.append(at)
+            to = self._delimiter(at)
+            if to == len(self.html):
+                break
+            if self.html[to] == ">":
+                return to
+            at = self.html.find(self.html[to], to + 1) + 1 or -1
+        self.dead.update(passed)
+        return -1
+
+
 def _self_closed(inside: str) -> bool:
     return inside.endswith("/") and not BARE_VALUE.search(QUOTED.sub('""', inside))
 
@@ -152,9 +182,14 @@ def blocks(html: str) -> list[Block]:
                 anchors -= 1
 
     at = look = 0
-    xhtml = XHTML.search(html[:2000]) is not None
+    ends, xhtml = TagEnds(html), XHTML.search(html[:2000]) is not None
     while m := TOKEN.search(html, look):
         tag, inside, look = m[2], m[3], m.end()
+        if tag and not m[4]:
+            end = ends.find(m.end(2))
+            if end < 0:  # text
+                continue
+            inside, look = html[m.end(2) : end], end + 1
         if m.start() > at:
             raw = html[at : m.start()]
             parts.append(raw)
