@@ -7,7 +7,7 @@ further columns: those are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -35,17 +35,21 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group (five-word shingles, similarity 0.8 or more), and all without doc_id.
+    """Keeps the document with the least doc_id of each group (five-word shingles, similarity 0.8 or more).
 
-    Of rows that share a doc_id the first by text stays.
+    Where doc_ids are null or clash, each row is a document of its own: unlike rows all stay, of a group the row with the
+    least doc_id does, and one without doc_id only if none has any. Ties go to the least hash of the row.
     """
-    kept = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    # hashing the ids spares a sort of the texts
-    rows = docs.select(*COLUMNS).join(kept.hint("shuffle_hash"), "doc_id").select(*COLUMNS)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-        rows = rows.withColumn("row__", F.row_number().over(one)).where("row__ = 1").drop("row__")
-    return rows.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    docs = docs.select(*COLUMNS)
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        kept = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id")
+        # hashing the ids spares a sort of the texts
+        return docs.join(kept.hint("shuffle_hash"), "doc_id").select(*COLUMNS)
+    rows = written(docs.withColumn("row__", F.monotonically_increasing_id()), "near-rows")
+    found = near_dedup.near_duplicates(rows.select(F.col("row__").alias("doc_id"), "text"), words=5, percent=80)
+    order = rows.select("row__", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "row__").alias("order__"))
+    kept = found.select(F.col("doc_id").alias("row__"), "component_id").join(order, "row__").groupBy("component_id").agg(F.min("order__").alias("order__"))
+    return rows.join(kept.select("order__.row__").hint("shuffle_hash"), "row__").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from test_near_dedup import brute
 from test_tokens import TOKENIZER, check_packing
@@ -47,3 +49,15 @@ def test_odd_rows(spark, odd_docs, tmp_path):
         pieces = cp.STAGES[-1][1](spark, now, str(tmp_path)).collect()
         assert {r["doc_id"] for r in pieces} == set(ids)
     assert not {2, 3, 4, 5} & set(ids or [])
+
+
+def test_rows_without_or_with_clashing_ids_are_deduplicated_by_text(spark):
+    text = lambda seed: " ".join(random.Random(seed).choices("abcdefghij", k=60))
+    near = text(1) + " z"
+    rows = [(None, text(1)), (None, text(1)), (None, near), (None, text(2)), (4, near), (3, text(3)), (3, text(4)), (3, text(4)), (5, text(4)), (6, None), (6, text(5)), (None, text(6)), (None, text(6) + " z"), (8, None), (9, text(7)), (7, text(7))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, "").collect()]
+    one = [x for x in got if x[0] is None and x[1].startswith(text(6))]
+    assert len(one) == 1
+    got.remove(one[0])
+    assert sorted(got, key=repr) == sorted([(None, text(2)), (4, near), (3, text(3)), (3, text(4)), (6, None), (6, text(5)), (8, None), (7, text(7))], key=repr)
