@@ -15,17 +15,13 @@ from tidemark.llm import language, near_dedup, packing, toxicity
 from tidemark.llm.store import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose language is less certain than this goes, as do those without a letter. Low, since a foreign passage in a sound document leaves two likely languages.
-LEAST_CONFIDENCE = 0.3
 #: A document with at least this toxicity score goes.
 TOXIC = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told; learns from the documents that name theirs."""
-    model = language.train(docs)
-    found = language.predict(docs, model, COLUMNS)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_CONFIDENCE)).select(*COLUMNS)
+    """Drops documents without a letter or in none of the languages that documents name; keeps those with a letter where none names its own."""
+    return language.known(docs, language.train(docs, evidence=True), COLUMNS)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from test_near_dedup import brute
 from test_tokens import TOKENIZER, check_packing
 
@@ -61,3 +63,23 @@ def test_rows_without_or_with_clashing_ids_are_deduplicated_by_text(spark):
     assert len(one) == 1
     got.remove(one[0])
     assert sorted(got, key=repr) == sorted([(None, text(2)), (4, near), (3, text(3)), (3, text(4)), (6, None), (6, text(5)), (8, None), (7, text(7))], key=repr)
+
+
+@pytest.mark.parametrize("learned", [["en"], ["de"], ["de", "en"], ["de", "en", "es"]])
+def test_languages_that_were_not_learned_are_dropped(spark, learned):
+    rng = random.Random(1)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select(*cp.COLUMNS)
+    junk = [(-1 - i, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxyz", k=rng.randint(2, 9))) for _ in range(80)), None, "s", 1) for i in range(50)]
+    finnish = [(-100 - i, "Valiokunta kokoontuu jälleen torstaina keskustelemaan ehdotuksesta, joka koskee uutta kirjastoa kaupungin keskustassa.", None, "s", 1) for i in range(3)]
+    rows = docs.withColumn("lang", F.when(F.col("lang").isin(learned), F.col("lang"))).unionByName(spark.createDataFrame(junk + finnish, docs.schema))
+    kept = {r["doc_id"] for r in cp.language_id(spark, rows, "").collect()}
+    real = docs.collect()
+    own = [r["doc_id"] in kept for r in real if r["lang"] in learned and r["n_chars"] > 0]
+    foreign = [r["doc_id"] in kept for r in real if r["lang"] not in learned]
+    assert np.mean(own) >= 0.995 and np.mean(foreign) <= 0.03
+    assert not [i for i in kept if i < 0]
+
+
+def test_where_no_language_is_named_documents_stay(spark, odd_docs):
+    docs = odd_docs.selectExpr("doc_id", "text", "cast(null as string) as lang", "'s' as source", "cast(length(text) as bigint) as n_chars")
+    assert sorted(r["doc_id"] or 0 for r in cp.language_id(spark, docs, "").collect()) == [0, 1, 6, 6, 7, 8, 9]

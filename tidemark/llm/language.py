@@ -90,20 +90,30 @@ class LanguageModel:
     values: np.ndarray  # idf times weight, [language, feature]
     intercept: np.ndarray
     temperature: float
+    support: np.ndarray | None = None  # log of each feature's share of the language that has most of it
+    usual: dict[str, tuple[float, float]] | None = None  # mean and deviation of evidence, each sample row judged by the others
 
     def logits(self, counted: np.ndarray) -> np.ndarray:
         return np.array([SCALE / max(len(counted), 1) * float(v[counted].sum(dtype=np.float64)) for v in self.values]) + self.intercept
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """predict(), and each text's evidence (mean support of its n-grams; 0 if the model has none) and number of n-grams."""
+        evidence, many = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), evidence, many
         found, at, has = grams(texts)
         out = np.zeros((len(texts), len(self.languages)))
         for i in np.flatnonzero(has).tolist():
-            out[i] = self.logits(doc_grams(found, at[i], at[i + 1]))
+            own = doc_grams(found, at[i], at[i + 1])
+            out[i] = self.logits(own)
+            if self.support is not None:
+                evidence[i], many[i] = self.support[own].mean(dtype=np.float64), len(own)
         p = softmax(out / self.temperature)
         best = p.argmax(1)
-        return [self.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, p.max(1), 0.0)
+        return [self.languages[b] if h else "und" for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, p.max(1), 0.0), evidence, many
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +142,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(schema, [*hit.tolist(), -1], [*df[hit].tolist(), docs], none, none, none)
 
 
-def train(docs: DataFrame, per_language: int = 1500, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001, seed: int = 2) -> LanguageModel:
-    """docs: text, lang of the rows to learn from (null lang: ignored), and doc_id for the sample's hash."""
+def train(docs: DataFrame, per_language: int = 1500, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001, seed: int = 2, evidence: bool = False) -> LanguageModel:
+    """docs: text, lang of the rows to learn from (null lang: ignored), and doc_id for the sample's hash. evidence: learns what known() needs, too."""
     rows = docs.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -151,10 +161,12 @@ def train(docs: DataFrame, per_language: int = 1500, epochs: int = 4, alpha: flo
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
     index = {lang: i for i, lang in enumerate(languages)}
-    sample = []
+    sample, counted = [], []
     for r in table.where("lang is not null").select("lang", "at", "times").toLocalIterator():  # the sample
         at, times = np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["times"], np.int32)
         sample.append((index[r["lang"]], at, times * (SCALE / times.sum()) * idf[at]))
+        if evidence:
+            counted.append((index[r["lang"]], at, times))
     dropped(table)
     sample.sort(key=lambda s: (s[0], len(s[1]), s[1].tobytes()))
     rng = np.random.default_rng(seed)
@@ -171,7 +183,26 @@ def train(docs: DataFrame, per_language: int = 1500, epochs: int = 4, alpha: flo
         temperature = _temperature(logits, np.array([sample[i][0] for i in held.tolist()]))
     else:
         temperature = 1.0
-    return LanguageModel(languages, np.ascontiguousarray((weights * idf[:, None]).T.astype(np.float32)), model.intercept(), temperature)
+    return LanguageModel(languages, np.ascontiguousarray((weights * idf[:, None]).T.astype(np.float32)), model.intercept(), temperature, *(_support(languages, counted) if evidence else ()))
+
+
+def _support(languages: list[str], sample: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict[str, tuple[float, float]]]:
+    """From (language, features, times): LanguageModel's support and usual."""
+    counts = np.zeros((len(languages), SIZE))
+    for k, at, times in sample:
+        counts[k, at] += times
+    totals = counts.sum(1)
+    share = np.log((counts + 0.5) / (totals[:, None] + 0.5 * SIZE))
+    first = share.argmax(0)
+    best = share.max(0)
+    share[first, np.arange(SIZE)] = -np.inf
+    second = share.max(0)
+    found: dict[str, list[float]] = {}
+    for k, at, times in sample:
+        n = times.sum()
+        own = np.log((counts[k, at] - times + 0.5) / (totals[k] - n + 0.5 * SIZE))
+        found.setdefault(languages[k], []).append(float(np.maximum(np.where(first[at] == k, second[at], best[at]), own) @ times / n))
+    return best.astype(np.float32), {k: (float(np.mean(v)), float(np.std(v))) for k, v in found.items()}
 
 
 def _temperature(logits: np.ndarray, target: np.ndarray) -> float:
@@ -181,22 +212,49 @@ def _temperature(logits: np.ndarray, target: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def predict(docs: DataFrame, model: LanguageModel, columns: list[str]) -> DataFrame:
-    """docs -> the columns named (kept as they are), lang_pred, score."""
+def predict(docs: DataFrame, model: LanguageModel, columns: list[str], evidence: bool = False) -> DataFrame:
+    """docs -> the columns named (kept as they are), lang_pred, score and, with evidence, evidence, n_grams."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 256 KB a language
     kept = docs.select(*columns)
     out = kept.schema.add("lang_pred", "string").add("score", "double")
-    names = [*columns, "lang_pred", "score"]
+    out = out.add("evidence", "double").add("n_grams", "long") if evidence else out
+    more = ["evidence", "n_grams"] if evidence else []
+    names = [*columns, "lang_pred", "score", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, "text__"):
-                langs, score = shared.value.predict(texts)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(columns))), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names)
+                langs, score, *rest = shared.value.judge(texts)
+                rest = [pa.array(rest[0], pa.float64()), pa.array(rest[1], pa.int64())] if evidence else []
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(columns))), pa.array(langs, pa.string()), pa.array(score, pa.float64()), *rest], names)
 
     return text_map(docs.select(*columns, F.col("text").cast("string").alias("text__")), run, out)
 
 
+def known(docs: DataFrame, model: LanguageModel, columns: list[str], deviations: float = 4.0, least: float = 1.0, short: float = 16.0) -> DataFrame:
+    """The columns named of docs (text, lang) that have a letter and are in a language that was learned; of all with a letter, where none was.
+
+    A text's evidence may lie below the mean of its language's labelled rows by `deviations` standard deviations, or
+    `least` if that is more, and by `short` over the root of its number of n-grams (about three standard errors of their
+    mean, so that a key or a name does not cost a short text its place). Mean and deviation are over all labelled
+    rows, or as the model's sample has them with each row judged by the others, where that is looser: of few rows little
+    can be said. The number of languages has no part in it.
+    """
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*columns)
+    labelled = predict(docs.where("lang is not null and text is not null"), model, ["lang"], evidence=True).where("n_grams > 0")
+    rows = labelled.groupBy("lang").agg(F.avg("evidence").alias("mean"), F.stddev_pop("evidence").alias("sd")).collect()  # a row a language
+    low = {}
+    for r in rows:
+        mean, sd = model.usual.get(r["lang"], (r["mean"], 0.0))
+        low[r["lang"]] = min(mean, r["mean"]) - max(deviations * max(sd, r["sd"]), least)
+    found = predict(docs, model, columns, evidence=True).where("lang_pred <> 'und'")
+    if not low:
+        return found.select(*columns)
+    bound = F.create_map(*(F.lit(x) for pair in sorted(low.items()) for x in pair))[F.col("lang_pred")]
+    return found.where(F.coalesce(F.col("evidence") >= bound - F.lit(short) / F.sqrt("n_grams"), F.lit(True))).select(*columns)
+
+
 def identify(docs: DataFrame, learn: DataFrame, **parameters) -> DataFrame:
     """docs (doc_id, text), learn (doc_id, text, lang) -> doc_id, lang_pred, score."""
     return predict(docs, train(learn, **parameters), ["doc_id"])
