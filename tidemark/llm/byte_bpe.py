@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import batch_of, chunks, span_hashes
+from .kernel import batch_of, chunks, distinct_spans
 from .store import text_map
 
 # Classes of code points. Fixed value: the code points that \s stands for.
@@ -397,10 +397,7 @@ class Encoder:
         return [b"".join(self.vocabulary.added[x].to_bytes(4, "little") if i % 2 else next(plain) for i, x in enumerate(p)) for p in parts]
 
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        """encode() of texts in which no added token is looked for.
-
-        Slices that occur again in these texts are told by a 64-bit hash, so that each is looked up once.
-        """
+        """encode() of texts in which no added token is looked for. Slices that occur again in these texts are looked up once."""
         if not texts:
             return []
         joined = "\0".join(texts) + "\0"
@@ -413,7 +410,7 @@ class Encoder:
         own[stops] = False
         starts, ends = starts[own], ends[own]
         first = np.concatenate(([0], stops - np.arange(len(texts))))
-        _, at, which = np.unique(span_hashes((codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), starts, ends), return_index=True, return_inverse=True)
+        at, which = distinct_spans(codes.view(np.uint8), starts * 4, ends * 4)
         found = self._ids([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
         flat = np.frombuffer(b"".join(found), "<u4")
         size = np.array([len(x) >> 2 for x in found], np.int64)

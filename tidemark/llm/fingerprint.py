@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import BYTE_CODES, C1, U64, batch_of, mix, span_hashes
+from .kernel import C1, U64, batch_of, mix
 from .store import text_map
 
 LEVELS = 3
@@ -32,6 +32,38 @@ ENOUGH = 16
 SEP = 0xFF  # no byte of UTF-8
 TOP = 31  # the label of a separator
 
+_rng = np.random.Generator(np.random.PCG64(20240605))
+#: A random odd name for each byte.
+BYTE_CODES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, U64), np.ones(1, U64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
+            x = np.full(size, base & (2**64 - 1), U64)
+            x[0] = 1
+            _powers[k] = np.cumprod(x)
+    return _powers[0], _powers[1]
+
+
+def phrase_names(names: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of names[start:end] for each phrase: a polynomial modulo 2**64, mixed.
+
+    Phrases lie between local maxima of at most ten labels, so that none is longer than some twenty symbols; sequences
+    on which such polynomials collide whatever their base are of a thousand and more.
+    """
+    n = len(names)
+    up, down = _power_tables(n + 1)
+    total = np.empty(n + 1, U64)
+    total[0] = 0
+    np.cumsum(names * up[:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
 LOW_BIT = np.array([x & -x for x in range(256)], np.uint8)
 LOW_INDEX2 = np.array([2 * ((x & -x).bit_length() - 1) if x else 14 for x in range(256)], np.uint8)
 _DEBRUIJN = 0x03F79D71B4CB0A89
@@ -101,7 +133,7 @@ def parse(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         else:
             small = source
         starts = np.flatnonzero(_begins(small, sep))
-        names = span_hashes(names, starts, np.append(starts[1:], len(names)))
+        names = phrase_names(names, starts, np.append(starts[1:], len(names)))
         sep = np.searchsorted(starts, sep)
         names[sep] = 0
         own = np.ones(len(names), bool)

@@ -15,11 +15,9 @@ U64 = np.uint64
 CHUNK_BYTES = 400_000
 
 _rng = np.random.Generator(np.random.PCG64(20240601))
-#: A random odd 64-bit value for each byte, and the base of the rolling polynomial with its inverse modulo 2**64.
-BYTE_CODES = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 2**64)
 C1, C2, C3, C4, C5 = (U64(int(x) | 1) for x in _rng.integers(0, 2**63, 5, dtype=np.uint64))
+#: The lowest i bytes of a lane.
+LANE_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 #: Bytes of ASCII white space: 0x20 and 0x09 to 0x0D.
 IS_SPACE = np.zeros(256, bool)
@@ -28,20 +26,6 @@ IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n at least."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((BASE, BASE_INV)):
-            x = np.full(size, base & (2**64 - 1), U64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x ^ (x >> U64(30))
@@ -52,14 +36,59 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A mixed hash of codes[start:end] for each span; codes are 64-bit symbols."""
-    n = len(codes)
-    up, down = powers(n + 1)
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum(codes * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+class Lanes:
+    """Spans of bytes as 8-byte lanes: the first one of each span, and all further ones of the spans that have some."""
+
+    def __init__(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        padded = np.zeros(len(buf) + 8, np.uint8)
+        padded[: len(buf)] = buf
+        self._at = np.ndarray(len(buf) + 1, np.uint64, padded, 0, (1,))
+        self.starts, self.lengths = starts, ends - starts
+        self.first = self._at[starts] & LANE_MASK[np.minimum(self.lengths, 8)]
+        self.long = np.flatnonzero(self.lengths > 8)
+        self.many = (self.lengths[self.long] - 1) >> 3
+        total = np.cumsum(self.many)
+        self.begin = total - self.many
+        self.place = np.arange(total[-1] if len(total) else 0) - np.repeat(self.begin, self.many) + 1
+        self._left = LANE_MASK[np.minimum(np.repeat(self.lengths[self.long], self.many) - 8 * self.place, 8)]
+        self.rest = self.further(starts)
+
+    def further(self, starts: np.ndarray) -> np.ndarray:
+        """The further lanes, with the spans moved to other starts."""
+        return self._at[np.repeat(starts[self.long], self.many) + 8 * self.place] & self._left
+
+    def hashes(self) -> np.ndarray:
+        """Every lane is mixed by itself with its place before they are added, so that nothing cancels between places."""
+        out = mix(self.first ^ C3)
+        if len(self.long):
+            out[self.long] += np.add.reduceat(mix(self.rest ^ mix(self.place.astype(U64) * C1)), self.begin)
+        return mix(out ^ self.lengths.astype(U64) * C2)
+
+    def equal(self, other: np.ndarray) -> bool:
+        """Whether each span i has the bytes of span other[i]."""
+        starts = self.starts[other]
+        if (self.lengths[other] != self.lengths).any() or (self.first[other] != self.first).any():
+            return False
+        return bool((self.further(starts) == self.rest).all())
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of buf[start:end] for each span of bytes."""
+    return Lanes(buf, starts, ends).hashes()
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A span for each distinct string of bytes, and the number of its string for each span.
+
+    Exact: spans of one hash are compared byte by byte; should two differ, the strings themselves tell them apart.
+    """
+    lanes = Lanes(buf, starts, ends)
+    _, at, which = np.unique(lanes.hashes(), return_index=True, return_inverse=True)
+    if not lanes.equal(at[which]):
+        raw, index = buf.tobytes(), {}
+        which = np.array([index.setdefault(raw[a:b], len(index)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        at = np.unique(which, return_index=True)[1]
+    return at, which
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -102,7 +131,11 @@ class Words:
         self.first = np.searchsorted(self.starts, self.doc_at)
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(BYTE_CODES[self.buf], self.starts, self.ends)
+        return span_hashes(self.buf, self.starts, self.ends)
+
+    def ids(self) -> np.ndarray:
+        """A number for each word: equal ones for equal words of these texts, and for no others."""
+        return distinct_spans(self.buf, self.starts, self.ends)[1]
 
     def per_doc(self, mask: np.ndarray) -> np.ndarray:
         """Sums of a value per byte over each document."""

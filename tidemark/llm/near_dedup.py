@@ -65,8 +65,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     n = max(len(h) - words + 1, 0)
     grams = h[:n].copy()
     for k in range(1, words):
-        grams += h[k : n + k] * U64(pow(int(C1), k, 2**64))
-    grams = mix(grams)
+        grams = mix(grams * C1 + h[k : n + k])
     out = []
     first = w.first.tolist()
     for a, b in zip(first, first[1:], strict=False):

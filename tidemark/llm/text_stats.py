@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-from .kernel import C1, C2, C3, C4, C5, LOWER, Words, batch_of, chunks, mix, ranges, repeated
-from .kernel import U64
+from .kernel import C1, LOWER, U64, Words, batch_of, chunks, mix, ranges, repeated
 
 #: Fixed values of the contract: the characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -34,28 +34,38 @@ def line_stats(text: bytes) -> tuple[int, int]:
     return len(lines), len(lines) - len(set(lines))
 
 
-def distinct_per_doc(hashes: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """Distinct hashes of each document; sorts once, the document in the top bits' place."""
-    keys = (hashes & U64((1 << 44) - 1)) | (doc.astype(U64) << U64(44))
+def distinct_per_doc(keys: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Distinct keys of each document; sorts once, the document in the top bits' place."""
+    keys = (keys & U64((1 << 44) - 1)) | (doc.astype(U64) << U64(44))
     keys = np.sort(keys)
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     return np.bincount((keys[new] >> U64(44)).astype(np.int64), minlength=n_docs)
 
 
-def window_repeats(hashes: np.ndarray, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Words of each document that lie in a window of five words found twice or more in it."""
-    n = len(hashes)
+def window_repeats(words: np.ndarray, first: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Words of each document that lie in a window of five words found twice or more in it. words: a number for each, equal for equal words only.
+
+    Windows of one hash are compared word by word; should two differ, the windows themselves tell them apart.
+    """
+    n = len(words)
     if n < 5:
         return np.zeros(len(first) - 1, np.int64)
     m = n - 4
-    keys = mix(hashes[:m] * C1 + hashes[1 : m + 1] * C2 + hashes[2 : m + 2] * C3 + hashes[3 : m + 3] * C4 + hashes[4:] * C5 + doc[:m].astype(U64) * U64(0xD6E8FEB86659FD93))
+    keys = doc[:m].astype(U64)
+    for k in range(5):
+        keys = mix(keys * C1 + words[k : m + k].astype(U64))
     inside = np.flatnonzero(doc[:m] == doc[4:])
     twice = inside[repeated(keys[inside])]
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, twice, 1) if len(twice) < 1000 else cover.__iadd__(np.bincount(twice, minlength=n + 1))
-    ends = twice + 5
-    cover -= np.bincount(ends, minlength=n + 1)
+    order = twice[np.argsort(keys[twice], kind="stable")]
+    a, b = order[:-1], order[1:]
+    a, b = a[keys[a] == keys[b]], b[keys[a] == keys[b]]
+    if (doc[a] != doc[b]).any() or any((words[a + k] != words[b + k]).any() for k in range(5)):
+        exact = [(int(doc[i]), *words[i : i + 5].tolist()) for i in inside.tolist()]
+        many = Counter(exact)
+        twice = inside[[many[x] > 1 for x in exact]]
+    cover = np.bincount(twice, minlength=n + 1)
+    cover -= np.bincount(twice + 5, minlength=n + 1)
     return ranges(np.cumsum(cover)[:n] > 0, first)
 
 
@@ -64,7 +74,7 @@ def stats(texts: list[bytes], more: bool = True) -> dict[str, np.ndarray]:
     w = Words(texts)
     n_docs = len(texts)
     doc = w.doc_of_word()
-    hashes = w.hashes()
+    words = w.ids()
     head = IS_HEAD[w.buf]
     dup = np.array([line_stats(t) for t in texts], np.int64).reshape(n_docs, 2)
     out = {
@@ -72,7 +82,7 @@ def stats(texts: list[bytes], more: bool = True) -> dict[str, np.ndarray]:
         "word_chars": w.per_doc(head & ~w.space),
         "n_symbols": w.per_doc(IS_SYMBOL[w.buf]),
         "n_dup_lines": dup[:, 1],
-        "n_repeat_words": window_repeats(hashes, w.first, doc),
+        "n_repeat_words": window_repeats(words, w.first, doc),
     }
     if more:
         chars = np.zeros(len(head) + 1, np.int64)
@@ -90,7 +100,7 @@ def stats(texts: list[bytes], more: bool = True) -> dict[str, np.ndarray]:
             "n_digits": w.per_doc(IS_DIGIT[w.buf]),
             "n_punct": w.per_doc(IS_PUNCT[w.buf]),
             "n_exclaim": w.per_doc(w.buf == 33),
-            "n_unique_words": distinct_per_doc(hashes, doc, n_docs),
+            "n_unique_words": distinct_per_doc(words.astype(U64), doc, n_docs),
             "longest_word": longest,
             "n_unique_lower": distinct_per_doc(lower.hashes(), doc, n_docs),
             "n_short_words": ranges(length <= 2, w.first),
