@@ -124,3 +124,40 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[200 + i] == 100 for i in range(50)) and got[301] == 300 and 3 in got
     assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def linked_by_matrix(kept: np.ndarray, percent: int) -> list[int]:
+    """Components of copies whose sets have as many shingles each, of which only those kept of the base are shared."""
+    n, size = kept.shape
+    kept = kept.astype(np.float32)
+    least, before = np.arange(n), None
+    while before is None or (least != before).any():
+        before = least.copy()
+        for lo in range(0, n, 500):
+            common = kept[lo : lo + 500] @ kept.T
+            least[lo : lo + 500] = np.where(100 * common >= percent * (2 * size - common), least, n).min(1)
+    return least.tolist()
+
+
+@pytest.mark.parametrize("most_edits", [3, 9])
+def test_a_large_cluster_shuffles_little(spark, most_edits):
+    """Ten thousand copies of a text with few edits, or so many that most pairs are no links: exact, and less than five times the input shuffled."""
+    rng = random.Random(8)
+    base = [f"word{i}" for i in range(330)]
+    texts, kept = [], np.ones((10_000, 328), bool)
+    for n in range(len(kept)):
+        words = list(base)
+        for at in rng.sample(range(2, 328, 3), rng.randint(most_edits // 3, most_edits)):
+            words[at] = f"x{n}x{at}"
+            kept[n, at - 2 : at + 1] = False
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    store = spark._jsc.sc().statusStore()
+    before = store.executorSummary("driver").totalShuffleWrite()
+    rows = nd.near_duplicates(df, 3, 85).collect()
+    written = store.executorSummary("driver").totalShuffleWrite() - before
+    expected = linked_by_matrix(kept, 85)
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(expected))
+    assert len(set(expected)) == 1 if most_edits == 3 else len(set(expected)) > 50
+    print(f"{len(set(expected))} components, shuffled {written / sum(map(len, texts)):.2f} x input")
+    assert written < 5 * sum(map(len, texts))

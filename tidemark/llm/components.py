@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, by alternating large-star and small-star steps, and joins that survive hot keys."""
 
 from __future__ import annotations
 
@@ -7,6 +7,25 @@ from pyspark.sql import functions as F
 
 from .store import dropped, written
 
+#: A key with fewer rows than this is never hot, and tables of fewer rows have no hot keys.
+COLD = 1024
+#: Keys that can be hot at once: each has more than this part of all rows.
+HOT_KEYS = 4096
+
+
+def join_sizes(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with keyed, which has one row a key and the number of its rows as `n`; total: the number of rows.
+
+    Keys with more than max(COLD, total / HOT_KEYS) rows, HOT_KEYS of them at most, are broadcast, so that their rows stay where
+    they are; only the rows of other keys are shuffled, and none of these keys fills a task.
+    """
+    if total <= 8 * COLD:
+        return rows.join(keyed, key)
+    cut = max(COLD, total // HOT_KEYS)
+    hot = keyed.where(F.col("n") > cut)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("n") <= cut), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
 
 def components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
     """edges (u, v bigint) -> node, component: every node with an edge to another one, and the least node that it can reach.
@@ -19,11 +38,12 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     for _ in range(most):
         if not state[0]:
             break
+        total = 2 * state[0]
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_sizes(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_sizes(large, low, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         new = written(small, name)
         dropped(now)
         now, before = new, state
