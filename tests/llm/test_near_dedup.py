@@ -135,16 +135,16 @@ def linked_by_matrix(kept: np.ndarray, percent: int) -> list[int]:
         before = least.copy()
         for lo in range(0, n, 500):
             common = kept[lo : lo + 500] @ kept.T
-            least[lo : lo + 500] = np.where(100 * common >= percent * (2 * size - common), least, n).min(1)
+            least[lo : lo + 500] = np.minimum(least[lo : lo + 500], np.where(100 * common >= percent * (2 * size - common), least, n).min(1))
     return least.tolist()
 
 
-@pytest.mark.parametrize("most_edits", [3, 9])
-def test_a_large_cluster_shuffles_little(spark, most_edits):
-    """Ten thousand copies of a text with few edits, or so many that most pairs are no links: exact, and less than five times the input shuffled."""
+@pytest.mark.parametrize(("copies", "most_edits"), [(10_000, 3), (3_000, 9)])
+def test_a_large_cluster_shuffles_little(spark, copies, most_edits):
+    """Copies of a text with few edits, or so many that most pairs are no links: exact, and less than five times the input shuffled."""
     rng = random.Random(8)
     base = [f"word{i}" for i in range(330)]
-    texts, kept = [], np.ones((10_000, 328), bool)
+    texts, kept = [], np.ones((copies, 328), bool)
     for n in range(len(kept)):
         words = list(base)
         for at in rng.sample(range(2, 328, 3), rng.randint(most_edits // 3, most_edits)):
