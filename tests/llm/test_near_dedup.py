@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import near_dedup as nd
+from tidemark.llm import components as cc
 from tidemark.llm.components import components
 from tidemark.llm.queries import op6_near_dedup
 
@@ -126,6 +127,25 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
 
 
+def test_large_groups_go_by_bucket_and_hot_keys_are_broadcast(spark, monkeypatch):
+    """The plans for large groups, with what counts as large made small: the same rows."""
+    monkeypatch.setattr(nd, "BLOCK", 3)
+    monkeypatch.setattr(nd, "COLD", 8)
+    monkeypatch.setattr(cc, "COLD", 8)
+    monkeypatch.setattr(cc, "HOT_KEYS", 1 << 20)
+    rng = random.Random(11)
+    docs = {}
+    for size, copies, edits in ((100, 160, 8), (60, 40, 2)):
+        base = rng.choices([f"w{i}" for i in range(300)], k=size)
+        for _ in range(copies):
+            text = list(base)
+            for _ in range(rng.randint(0, edits)):
+                text[rng.randrange(size)] = rng.choice("abcdefgh")
+            docs[len(docs)] = " ".join(text)
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    check(nd.near_duplicates(df, 3, 85).collect(), docs, 3, 85)
+
+
 def linked_by_matrix(kept: np.ndarray, percent: int) -> list[int]:
     """Components of copies whose sets have as many shingles each, of which only those kept of the base are shared."""
     n, size = kept.shape

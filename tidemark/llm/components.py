@@ -13,20 +13,25 @@ COLD = 1024
 HOT_KEYS = 4096
 
 
-def join_sizes(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined with keyed, which has one row a key and the number of its rows as `n`; total: the number of rows.
+def join_sizes(rows: DataFrame, keyed: DataFrame, key: str, total: int, most: int) -> DataFrame:
+    """rows joined with keyed, which has one row a key and the number of its rows as `n`; total: all rows; most: those of the key that has most.
 
     Keys with more than max(COLD, total / HOT_KEYS) rows, HOT_KEYS of them at most, are broadcast, so that their rows stay where
     they are; only the rows of other keys are shuffled, and none of these keys fills a task.
     """
-    if total <= 8 * COLD:
-        return rows.join(keyed, key)
     cut = max(COLD, total // HOT_KEYS)
+    if most <= cut:
+        return rows.join(keyed, key)
     hot = keyed.where(F.col("n") > cut)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("n") <= cut), key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def sizes_of(keyed: DataFrame) -> tuple[int, int]:
+    """The sum and the greatest of `n`: what join_sizes() asks for."""
+    return tuple(keyed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first())
+
+
 def components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
     """edges (u, v bigint) -> node, component: every node with an edge to another one, and the least node that it can reach.
 
@@ -38,12 +43,12 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     for _ in range(most):
         if not state[0]:
             break
-        total = 2 * state[0]
+        total, largest = state[0], state[2]
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_sizes(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_sizes(both.where("v > u"), least, "u", total, largest).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_sizes(large, low, "u", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
+        small = join_sizes(large, low, "u", total, largest).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         new = written(small, name)
         dropped(now)
         now, before = new, state
@@ -56,4 +61,6 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
 
 
 def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    """Twice the number of edges, a sum of their hashes, and the largest degree."""
+    ends = edges.select(F.explode(F.array("u", "v")).alias("u"), F.xxhash64("u", "v").cast("decimal(38,0)").alias("h"))
+    return tuple(ends.groupBy("u").agg(F.count("*").alias("n"), F.sum("h").alias("h")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.max("n")).first())

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .components import COLD, components, join_sizes
+from .components import COLD, components, join_sizes, sizes_of
 from .kernel import C1, LOWER, U64, Words, batch_of, chunks, mix
 from .store import dropped, text_map, written
 
@@ -335,8 +335,7 @@ def _members(classes: DataFrame, tables: list[DataFrame]) -> DataFrame:
     member = classes.select(F.explode("bands").alias("bucket"), "cid")
     stars = written(member.groupBy("bucket").agg(F.min("cid").alias("top"), F.count("*").alias("n")).where("n > 1"), "near-stars")
     tables.append(stars)
-    total = stars.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = join_sizes(member, stars, "bucket", total)
+    rows = join_sizes(member, stars, "bucket", *sizes_of(stars))
     few = rows.where(F.col("n") <= COLD).select("bucket", "cid", F.col("top").alias("hub"), "n")
     part = F.pmod(F.xxhash64("cid"), F.pow(F.lit(2), F.ceil(F.log2(F.sqrt("n")))).cast("bigint"))
     many = rows.where(F.col("n") > COLD).withColumn("hub", F.min("cid").over(Window.partitionBy("bucket", part)))
@@ -344,7 +343,7 @@ def _members(classes: DataFrame, tables: list[DataFrame]) -> DataFrame:
 
 
 def _with_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
-    """need (cid, rep, n, k1, k2, groups) -> rows of _sets()."""
+    """need (cid, rep, n, k1, k2, groups) -> rows of _sets(). need is a table, so that Spark knows its size, and broadcasts it if that is small."""
     return text_map(docs.join(need, F.col("doc_id") == F.col("rep")).select("cid", "n", "k1", "k2", "groups", "text"), *_sets(words))
 
 
@@ -367,7 +366,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     many = parts.where(~own).groupBy("grp").agg(F.ceil(F.sum("w")).alias("many"))
     where = parts.join(many, "grp", "left").select(F.xxhash64("grp", "c1").alias("part"), "grp", "c1", own.alias("own"), F.ceil("w").alias("k"), "many", F.col("rows__").alias("n"))
     keyed = rows.withColumn("part", F.xxhash64("grp", "c1")).withColumnRenamed("n", "size__")
-    placed = join_sizes(keyed, where.select("part", "own", "k", "many", "n"), "part", rows.count()).drop("n").withColumnRenamed("size__", "n")
+    placed = join_sizes(keyed, where.select("part", "own", "k", "many", "n"), "part", *sizes_of(where)).drop("n").withColumnRenamed("size__", "n")
     block = F.when(F.col("own"), F.xxhash64("grp", "c1", F.pmod(F.xxhash64("cid"), "k"))).otherwise(F.xxhash64("grp", F.lit(0), F.pmod(F.xxhash64("c1"), "many")))
     return placed.withColumn("block", block).join(partner, "block").select("b1", "b2", "block", "cid", "c1", "bucket", "n", "bands")
 
@@ -396,7 +395,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     # every class beside its most similar hub
     best = pruned.where("alike >= 0").groupBy("v").agg(F.max_by("u", F.struct("alike", -F.col("u"))).alias("u"))
     groups = best.select(F.col("u").alias("grp"), F.col("v").alias("cid")).union(best.select("u", "u")).groupBy("cid").agg(F.collect_set("grp").alias("groups"))
-    sets = _with_sets(docs, able.drop("bands").join(groups, "cid"), words)
+    sets = _with_sets(docs, step(able.drop("bands").join(groups, "cid"), "hub-sets"), words)
     ordered = sets.repartition("grp").sortWithinPartitions("grp", F.col("cid") != F.col("grp"))
     links = step(text_map(ordered, *_hub_links(percent)), "links")
     found = components(links, "near-joined")
@@ -420,7 +419,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     placed = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").select(*same, "rep", F.coalesce("component", "cid").alias("c"))
     placed = step(placed, "placed")
     labels = placed.groupBy("c").agg(F.min("rep").alias("label"), F.count("*").alias("n"))
-    labels = join_sizes(placed.drop("rep"), labels, "c", placed.count()).select(*same, "label")
+    labels = join_sizes(placed.drop("rep"), labels, "c", *sizes_of(labels)).select(*same, "label")
     component_id = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
     out = keys.drop("bands").join(labels, same, "left").select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
     out = written(out, "near-result")
@@ -433,14 +432,14 @@ def _links_between(docs: DataFrame, able: DataFrame, members: DataFrame, compone
     """Links between components that candidates join. able: all classes with candidates; clusters (node, component): which components belong together."""
     rows = component.join(clusters.select(F.col("node").alias("c1"), F.col("component").alias("cluster")), "c1").join(able.select("cid", "n", "bands"), "cid")
     rows = step(rows, "open-classes")
-    sizes = rows.groupBy("cluster").agg(F.count("*").alias("many"))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"))
     # a class goes to as many blocks as its cluster has, or to its buckets' if these are fewer
-    large = sizes.where(F.col("many") > bands * BLOCK).withColumnRenamed("many", "n")
-    total = rows.count()
+    large = sizes.where(F.col("n") > bands * BLOCK)
+    total, largest = sizes_of(sizes)
     if not total:
         return step(component.sparkSession.createDataFrame([], "u bigint, v bigint"), "no-links")
-    if large.limit(1).count():
-        wide = join_sizes(rows.withColumnRenamed("n", "size__"), large, "cluster", total).select("cid", "c1", F.col("size__").alias("n"), "bands")
+    if largest > bands * BLOCK:
+        wide = rows.withColumnRenamed("n", "size__").join(F.broadcast(large), "cluster").select("cid", "c1", F.col("size__").alias("n"), "bands")
         by_bucket = members.where("n > 1").select("bucket", "cid").distinct().join(wide, "cid").select(F.col("bucket").alias("grp"), "cid", "c1", "bucket", "n", "bands")
         rows = rows.join(F.broadcast(large.select("cluster")), "cluster", "left_anti")
     else:
@@ -451,6 +450,6 @@ def _links_between(docs: DataFrame, able: DataFrame, members: DataFrame, compone
     order = ["b1", "b2", "block", "cid"]
     alive = step(dealt.repartition("b1", "b2").sortWithinPartitions(*order).mapInArrow(*_survivors_of_blocks(percent, miss)), "alive")
     need = able.drop("bands").join(alive.select("cid").distinct(), "cid", "left_semi").withColumn("groups", F.array("cid"))
-    sets = _with_sets(docs, need, words).select("cid", "shingles")
+    sets = _with_sets(docs, step(need, "more-sets"), words).select("cid", "shingles")
     survivors_ = dealt.join(alive, ["b1", "b2", "cid"], "left_semi").join(sets, "cid").select(*order, "c1", "bucket", "n", "bands", "shingles")
     return step(text_map(survivors_.repartition("b1", "b2").sortWithinPartitions(*order), *_links_of_blocks(percent, miss)), "more-links")
