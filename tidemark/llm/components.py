@@ -9,6 +9,8 @@ from .store import dropped, written
 
 #: A key with fewer rows than this is never hot, and tables of fewer rows have no hot keys.
 COLD = 1024
+#: Narrow rows that are worth a task, up to the session's number of shuffle partitions.
+ROWS_OF_TASK = 10_000
 #: Keys that can be hot at once: each has more than this part of all rows.
 HOT_KEYS = 4096
 
@@ -27,6 +29,12 @@ def join_sizes(rows: DataFrame, keyed: DataFrame, key: str, total: int, most: in
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def spread(rows: DataFrame, total: int, key: str) -> DataFrame:
+    """rows dealt by a key to as many tasks as `total` narrow rows are worth, so that what is grouped and joined by it next needs no shuffle more."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(1, min(most, -(-total // ROWS_OF_TASK))), key)
+
+
 def sizes_of(keyed: DataFrame) -> tuple[int, int]:
     """The sum and the greatest of `n`: what join_sizes() asks for."""
     return tuple(keyed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first())
@@ -43,12 +51,15 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     for _ in range(most):
         if not state[0]:
             break
-        total, largest = state[0], state[2]
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        total = 2 * state[0]
+        largest = _largest_degree(now) if total > COLD else 0
+        both = spread(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), total, "u")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_sizes(both.where("v > u"), least, "u", total, largest).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_sizes(both.where("v > u"), least, "u", total, largest).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = spread(large, total, "u").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_sizes(large, low, "u", total, largest).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
+        small = join_sizes(large, low, "u", total, largest).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
+        small = spread(small, total, "u").distinct()
         new = written(small, name)
         dropped(now)
         now, before = new, state
@@ -61,6 +72,8 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
 
 
 def _state(edges: DataFrame) -> tuple:
-    """Twice the number of edges, a sum of their hashes, and the largest degree."""
-    ends = edges.select(F.explode(F.array("u", "v")).alias("u"), F.xxhash64("u", "v").cast("decimal(38,0)").alias("h"))
-    return tuple(ends.groupBy("u").agg(F.count("*").alias("n"), F.sum("h").alias("h")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.max("n")).first())
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _largest_degree(edges: DataFrame) -> int:
+    return edges.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").count().agg(F.max("count")).first()[0] or 0

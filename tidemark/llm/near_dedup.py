@@ -6,10 +6,10 @@
    each of about sqrt(n) parts, with the least of all above them: nothing is emitted for pairs, and no hub has many.
 3. Hubs first: batches of the signatures of hub and member are compared, and pairs whose posterior probability of
    reaching the threshold is too low are dropped. The sets of each class and of its most similar hub are compared exactly.
-4. The rest: classes that candidates join but links do not are dealt out in blocks, of one group of open candidates
-   or, where that is large, of one bucket. Signatures alone go to the blocks; pairs of different components that share a
-   band are pruned by batches. The sets of classes in a surviving pair follow last and are compared exactly. A task emits a spanning
-   forest of its links, never all pairs.
+4. The rest: the buckets of one hub are a group. Groups that links have not made one component yet are dealt out
+   in blocks. Signatures alone go to the blocks; pairs of different components that share a band are pruned by batches. The
+   sets of classes in a surviving pair follow last and are compared exactly. A task emits a spanning forest of its links, never
+   all pairs.
 5. Components of the links give each document the least doc_id that it can reach.
 
 Shingle sets are sets of 64-bit hashes of whole shingles (each word is mixed by its bytes, each shingle word after word), of which two
@@ -142,11 +142,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def candidates(bands: np.ndarray, sizes: np.ndarray, component: np.ndarray, blocks: np.ndarray, bucket: int | None, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
-    """Surviving pairs of one block, or between two if two are there, and how alike they are: of different components, and sharing a band.
-
-    bucket: the band that all share; a pair counts where it is the first of those that the pair shares.
-    """
+def candidates(bands: np.ndarray, sizes: np.ndarray, component: np.ndarray, blocks: np.ndarray, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Surviving pairs of one block, or between two if two are there, and how alike they are: of different components, and sharing a band."""
     low, high = blocks.min(), blocks.max()
     a, b = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
     signatures = np.ascontiguousarray(bands).view(np.uint8)
@@ -160,10 +157,7 @@ def candidates(bands: np.ndarray, sizes: np.ndarray, component: np.ndarray, bloc
         able &= 100 * np.minimum(sizes[i][:, None], sizes[b][None, :]) >= percent * np.maximum(sizes[i][:, None], sizes[b][None, :])
         x, y = np.nonzero(able)
         pairs, share = survivors(signatures, signatures, np.column_stack((i[x], b[y])), percent, miss)
-        same = bands[pairs[:, 0]] == bands[pairs[:, 1]]
-        ok = same.any(1)
-        if bucket is not None and len(pairs):
-            ok &= bands[pairs[:, 0], same.argmax(1)] == bucket
+        ok = (bands[pairs[:, 0]] == bands[pairs[:, 1]]).any(1)
         found.append(pairs[ok])
         alike.append(share[ok])
     return np.concatenate(found), np.concatenate(alike)
@@ -234,7 +228,7 @@ def _keys(words: int, bands: int):
 
 
 def _prune(percent: int, miss: float):
-    """mapInArrow over (u, v, wide, n_u, n_v, bands_u, bands_v): u, v and how alike they are, -1 if pruned; of pairs that are pruned only those of a wide bucket."""
+    """mapInArrow over (u, v, n_u, n_v, bands_u, bands_v): u, v and how alike they are, of the pairs that are not pruned."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("alike", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +238,10 @@ def _prune(percent: int, miss: float):
             at = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
             left, right = (_matrix(at[f]).view(np.uint8) for f in ("bands_u", "bands_v"))
             small, large = (f(at["n_u"].to_numpy(), at["n_v"].to_numpy()) for f in (np.minimum, np.maximum))
-            alike = np.full(batch.num_rows, -1.0)
             able = np.flatnonzero(100 * small >= percent * large)
-            pairs, share = survivors(left, right, np.column_stack((able, able)), percent, miss)
-            alike[pairs[:, 0]] = share
-            out = np.flatnonzero((alike >= 0) | at["wide"].to_numpy(zero_copy_only=False))
-            yield batch_of(schema, at["u"].take(pa.array(out)), at["v"].take(pa.array(out)), alike[out])
+            pairs, alike = survivors(left, right, np.column_stack((able, able)), percent, miss)
+            out = pa.array(pairs[:, 0])
+            yield batch_of(schema, at["u"].take(out), at["v"].take(out), alike)
 
     return run, "u bigint, v bigint, alike double"
 
@@ -294,12 +286,11 @@ def _hub_links(percent: int):
 
 def _candidates_of(t: pa.Table, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     component = t["c1"].to_numpy()
-    bucket = t["bucket"][0].as_py()
-    return *candidates(_matrix(t["bands"]), t["n"].to_numpy(), component, t["block"].to_numpy(), bucket, percent, miss), component
+    return *candidates(_matrix(t["bands"]), t["n"].to_numpy(), component, t["block"].to_numpy(), percent, miss), component
 
 
 def _survivors_of_blocks(percent: int, miss: float):
-    """mapInArrow over (b1, b2, block, cid, c1, bucket, n, bands) with all rows of a pair of blocks in a row: b1, b2, cid of the classes in surviving pairs."""
+    """mapInArrow over (b1, b2, block, cid, c1, n, bands) with all rows of a pair of blocks in a row: b1, b2, cid of the classes in surviving pairs."""
     schema = pa.schema([("b1", pa.int64()), ("b2", pa.int64()), ("cid", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,24 +322,26 @@ def _links_of_blocks(percent: int, miss: float):
 
 
 def _members(classes: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """A row (bucket, cid, hub, n) for each class in a bucket of two or more, and one for each part's hub below a large bucket's."""
+    """A row (cid, top, hub, n) for each class in a bucket of n, two or more: the bucket's least class, and that of its part if the bucket has many."""
     member = classes.select(F.explode("bands").alias("bucket"), "cid")
     stars = written(member.groupBy("bucket").agg(F.min("cid").alias("top"), F.count("*").alias("n")).where("n > 1"), "near-stars")
     tables.append(stars)
-    rows = join_sizes(member, stars, "bucket", *sizes_of(stars))
-    few = rows.where(F.col("n") <= COLD).select("bucket", "cid", F.col("top").alias("hub"), "n")
+    total, most = sizes_of(stars)
+    rows = join_sizes(member, stars, "bucket", total, most)
+    if most <= COLD:
+        return rows.select("cid", "top", F.col("top").alias("hub"), "n")
     part = F.pmod(F.xxhash64("cid"), F.pow(F.lit(2), F.ceil(F.log2(F.sqrt("n")))).cast("bigint"))
     many = rows.where(F.col("n") > COLD).withColumn("hub", F.min("cid").over(Window.partitionBy("bucket", part)))
-    return few.union(many.select("bucket", "cid", "hub", "n")).union(many.where("cid = hub").select("bucket", "cid", F.col("top").alias("hub"), "n"))
+    return rows.where(F.col("n") <= COLD).select("cid", "top", F.col("top").alias("hub"), "n").union(many.select("cid", "top", "hub", "n"))
 
 
 def _with_sets(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
-    """need (cid, rep, n, k1, k2, groups) -> rows of _sets(). need is a table, so that Spark knows its size, and broadcasts it if that is small."""
-    return text_map(docs.join(need, F.col("doc_id") == F.col("rep")).select("cid", "n", "k1", "k2", "groups", "text"), *_sets(words))
+    """need (cid, rep, n, k1, k2, groups) -> rows of _sets(). Hashing what is needed spares a sort of the texts."""
+    return text_map(docs.join(need.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("cid", "n", "k1", "k2", "groups", "text"), *_sets(words))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """rows (grp, cid, c1, bucket, n, bands) -> the same once for each pair of blocks (b1, b2) of its group that the class is in, with its block.
+    """rows (grp, cid, c1, n, bands) -> the same once for each pair of blocks (b1, b2) of its group that the class is in, with its block.
 
     A component of half a block or more has blocks of its own, which are not compared with each other; the others of a
     group share blocks, whole components together.
@@ -368,7 +361,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     keyed = rows.withColumn("part", F.xxhash64("grp", "c1")).withColumnRenamed("n", "size__")
     placed = join_sizes(keyed, where.select("part", "own", "k", "many", "n"), "part", *sizes_of(where)).drop("n").withColumnRenamed("size__", "n")
     block = F.when(F.col("own"), F.xxhash64("grp", "c1", F.pmod(F.xxhash64("cid"), "k"))).otherwise(F.xxhash64("grp", F.lit(0), F.pmod(F.xxhash64("c1"), "many")))
-    return placed.withColumn("block", block).join(partner, "block").select("b1", "b2", "block", "cid", "c1", "bucket", "n", "bands")
+    return placed.withColumn("block", block).join(partner, "block").select("b1", "b2", "block", "cid", "c1", "n", "bands")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
@@ -389,26 +382,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     members = step(_members(classes, tables), "members")
     able = step(classes.join(members.select("cid").distinct(), "cid", "left_semi").withColumnRenamed("n_shingles", "n"), "able")
     of = lambda end: able.select(F.col("cid").alias(end), F.col("n").alias(f"n_{end}"), F.col("bands").alias(f"bands_{end}"))
-    edges = members.where("cid <> hub").groupBy(F.col("hub").alias("u"), F.col("cid").alias("v")).agg(F.max(F.col("n") > 2).alias("wide"))
-    pruned = step(edges.join(of("v"), "v").join(of("u"), "u").select("u", "v", "wide", "n_u", "n_v", "bands_u", "bands_v").mapInArrow(*_prune(percent, miss)), "pruned")
+    edges = members.select(F.col("hub").alias("u"), F.col("cid").alias("v")).union(members.select("top", "hub")).where("u <> v").distinct()
+    pruned = step(edges.join(of("v"), "v").join(of("u"), "u").select("u", "v", "n_u", "n_v", "bands_u", "bands_v").mapInArrow(*_prune(percent, miss)), "pruned")
 
     # every class beside its most similar hub
-    best = pruned.where("alike >= 0").groupBy("v").agg(F.max_by("u", F.struct("alike", -F.col("u"))).alias("u"))
+    best = pruned.groupBy("v").agg(F.max_by("u", F.struct("alike", -F.col("u"))).alias("u"))
     groups = best.select(F.col("u").alias("grp"), F.col("v").alias("cid")).union(best.select("u", "u")).groupBy("cid").agg(F.collect_set("grp").alias("groups"))
-    sets = _with_sets(docs, step(able.drop("bands").join(groups, "cid"), "hub-sets"), words)
+    sets = _with_sets(docs, able.drop("bands").join(groups, "cid"), words)
     ordered = sets.repartition("grp").sortWithinPartitions("grp", F.col("cid") != F.col("grp"))
     links = step(text_map(ordered, *_hub_links(percent)), "links")
     found = components(links, "near-joined")
     tables.append(found)
 
-    # open: candidates whose ends lie in different components
     component = able.select("cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("component", "cid").alias("c1"))
     component = step(component, "component")
-    at = lambda end: component.select(F.col("cid").alias(end), F.col("c1").alias(f"c_{end}"))
-    opened = pruned.join(at("u"), "u").join(at("v"), "v").where("c_u <> c_v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
-    clusters = components(opened, "near-open")
-    tables.append(clusters)
-    links = links.union(_links_between(docs, able, members, component, clusters, words, percent, miss, bands, step))
+    links = links.union(_links_between(docs, able, members, pruned, component, words, percent, miss, step))
 
     own = real.select("doc_id", *same).join(classes.select(*same, "cid"), same).select("doc_id", "cid")
     shared = own.groupBy("doc_id").agg(F.min("cid").alias("u"), F.max("cid").alias("v")).where("u <> v")
@@ -428,28 +416,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     return out
 
 
-def _links_between(docs: DataFrame, able: DataFrame, members: DataFrame, component: DataFrame, clusters: DataFrame, words: int, percent: int, miss: float, bands: int, step) -> DataFrame:
-    """Links between components that candidates join. able: all classes with candidates; clusters (node, component): which components belong together."""
-    rows = component.join(clusters.select(F.col("node").alias("c1"), F.col("component").alias("cluster")), "c1").join(able.select("cid", "n", "bands"), "cid")
-    rows = step(rows, "open-classes")
-    sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"))
-    # a class goes to as many blocks as its cluster has, or to its buckets' if these are fewer
-    large = sizes.where(F.col("n") > bands * BLOCK)
-    total, largest = sizes_of(sizes)
+def _links_between(docs: DataFrame, able: DataFrame, members: DataFrame, pruned: DataFrame, component: DataFrame, words: int, percent: int, miss: float, step) -> DataFrame:
+    """Links between components (cid, c1) that lie in one group: the classes of all buckets that have the same least class."""
+    rows = members.select(F.col("top").alias("grp"), "cid").distinct().join(component, "cid")
+    opened = rows.groupBy("grp").agg(F.min("c1").alias("low"), F.max("c1").alias("high"), F.count("*").alias("n")).where("low < high")
+    # hub and member alone are settled if their pair was pruned
+    alive = pruned.select(F.col("u").alias("grp"), F.lit(True).alias("alive")).distinct()
+    opened = step(opened.join(alive, "grp", "left").where("n > 2 or alive").select("grp", "n"), "open")
+    total, most = sizes_of(opened)
     if not total:
         return step(component.sparkSession.createDataFrame([], "u bigint, v bigint"), "no-links")
-    if largest > bands * BLOCK:
-        wide = rows.withColumnRenamed("n", "size__").join(F.broadcast(large), "cluster").select("cid", "c1", F.col("size__").alias("n"), "bands")
-        by_bucket = members.where("n > 1").select("bucket", "cid").distinct().join(wide, "cid").select(F.col("bucket").alias("grp"), "cid", "c1", "bucket", "n", "bands")
-        rows = rows.join(F.broadcast(large.select("cluster")), "cluster", "left_anti")
-    else:
-        by_bucket = None
-    grouped = rows.select(F.col("cluster").alias("grp"), "cid", "c1", F.lit(None).cast("bigint").alias("bucket"), "n", "bands")
-    grouped = step(grouped.union(by_bucket), "by-bucket") if by_bucket is not None else grouped
+    rows = join_sizes(rows, opened, "grp", total, most).drop("n")
+    grouped = step(rows.join(able.select("cid", "n", "bands"), "cid"), "grouped")
     dealt = step(_blocks(grouped), "blocks")
     order = ["b1", "b2", "block", "cid"]
     alive = step(dealt.repartition("b1", "b2").sortWithinPartitions(*order).mapInArrow(*_survivors_of_blocks(percent, miss)), "alive")
     need = able.drop("bands").join(alive.select("cid").distinct(), "cid", "left_semi").withColumn("groups", F.array("cid"))
-    sets = _with_sets(docs, step(need, "more-sets"), words).select("cid", "shingles")
-    survivors_ = dealt.join(alive, ["b1", "b2", "cid"], "left_semi").join(sets, "cid").select(*order, "c1", "bucket", "n", "bands", "shingles")
+    sets = _with_sets(docs, need, words).select("cid", "shingles")
+    survivors_ = dealt.join(alive, ["b1", "b2", "cid"], "left_semi").join(sets, "cid").select(*order, "c1", "n", "bands", "shingles")
     return step(text_map(survivors_.repartition("b1", "b2").sortWithinPartitions(*order), *_links_of_blocks(percent, miss)), "more-links")
