@@ -26,12 +26,11 @@ def mine():
 
 @pytest.fixture(scope="module")
 def mine_json():
-    return bb.Encoder(bb.Vocabulary.from_json(open(JSON, "rb").read()), most=500)
+    return bb.Encoder(bb.Vocabulary.from_json(open(JSON, "rb").read(), added=True), most=500)
 
 
 REFERENCE = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}, special_tokens={})
 TOKENIZER = Tokenizer.from_file(JSON)
-TOKENIZER.encode_special_tokens = True
 
 ALPHABET = ["'", "s", "t", "re", "ve", "ll", "d", "m", " ", "  ", "\n", "\t", "a", "B", "é", "1", "²", "!", "-", "　", "\x85", "\x1c", "中", "́", "١", "'s", "'ll", "<|endoftext|>", "\0", "\U000135e7", "🙂"]
 
@@ -44,12 +43,20 @@ def test_like_the_libraries(texts):
         assert np.frombuffer(ids, "<u4").tolist() == REFERENCE.encode_ordinary(t)
         assert v.vocabulary.decode(np.frombuffer(ids, "<u4")).decode() == t
     for t, ids in zip(texts, _cached("json").encode(texts), strict=True):
-        if not any(0x10000 < ord(c) < 0x20000 and c not in "🙂" or ord(c) > 0x1C80 for c in t):  # its classes are of an older Unicode
-            assert np.frombuffer(ids, "<u4").tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids
+
+
+def test_every_code_point():
+    """Each code point between letters, digits and signs, in both vocabularies."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}1{chr(c)}, {chr(c)}{chr(c)}b " for c in points[lo : lo + 2000]) for lo in range(0, len(points), 2000)]
+    for v, plain in ((_cached("ranks"), REFERENCE.encode_ordinary), (_cached("json"), lambda t: TOKENIZER.encode(t, add_special_tokens=False).ids)):
+        for t, ids in zip(texts, v.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain(t)
 
 
 def _cached(kind):
-    return bb.encoder_of(kind, open(RANKS if kind == "ranks" else JSON, "rb").read())
+    return bb.encoder_of(kind, open(RANKS if kind == "ranks" else JSON, "rb").read(), added=kind == "json")
 
 
 @pytest.mark.parametrize("t", ["a" * 5000, "!" * 3000, " " * 3000, "xyz" * 2000, "é" * 700, "\n" * 100 + "x", ""])
@@ -119,9 +126,9 @@ def test_packs_a_whole_table(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 70), max_size=60), st.integers(1, 6))
-def test_packer_loses_nothing(lengths, most_open):
-    packer = packing.Packer(16, most_open)
+@given(st.lists(st.integers(1, 70), max_size=60), st.integers(0, 20))
+def test_packer_loses_nothing(lengths, cut_price):
+    packer = packing.Packer(16, cut_price)
     docs = [(i, list(range(i, i + n))) for i, n in enumerate(lengths)]
     windows = []
     for i, ids in docs:
@@ -138,27 +145,46 @@ def test_packer_loses_nothing(lengths, most_open):
 
 def test_level_is_the_one_of_least_sum_of_squares():
     rng = np.random.default_rng(0)
-    p = packing.Packer(32, 100)
-    for _ in range(300):
-        p.counts = rng.integers(0, 4, 33)
+    p = packing.Packer(32, 6)
+    cuts = 0
+    for _ in range(600):
+        p.counts = rng.integers(0, 7, 33)
         p.counts[0] = p.counts[32] = 0
         n = int(rng.integers(1, 32))
 
-        def after(level):
+        def after(level, cut):
             c = p.counts.copy()
             if level:
                 c[level] -= 1
-            if level + n < 32:
+            if cut:
+                c[level + n - 32] += 1
+            elif level + n < 32:
                 c[level + n] += 1
-            return int((c**2).sum())
+            return int((c**2).sum()) + 6 * cut
+
+        able = [(0, False), *((h, h + n > 32) for h in range(1, 32) if p.counts[h])]
+        level, cut = p.level_for(n)
+        cuts += cut
+        assert (level, cut) in able and after(level, cut) == min(after(*x) for x in able)
+    assert cuts > 20
+
 
-        able = [0, *(h for h in range(1, 33 - n) if p.counts[h])]
-        level = p.level_for(n)
-        assert level in able and after(level) == min(map(after, able))
+@pytest.mark.parametrize("kind", ["one length", "two lengths", "few lengths", "long ones", "any"])
+def test_few_windows_stay_open(kind):
+    """Lengths whose complements never come: a level has never more than some cut_price / 2 windows, however many documents there are."""
+    rng = np.random.default_rng(1)
+    size = 64
+    draws = {"one length": [[n] for n in range(1, size)], "two lengths": [[n, m] for n in range(33, size, 5) for m in range(1, size, 7)], "few lengths": [rng.integers(33, size, 4) for _ in range(20)], "long ones": [range(33, size)], "any": [range(1, size)]}[kind]
+    for lengths in draws:
+        packer = packing.Packer(size)
+        for i, n in enumerate(rng.choice(list(lengths), 2500).tolist()):
+            for _ in packer.take(i, bytes(4 * n)):
+                pass
+            assert packer.counts.max() <= 10
 
 
 def test_packs_odd_rows(spark, odd_docs):
-    got = packing.pack(odd_docs, JSON).collect()
+    got = packing.pack(odd_docs, JSON, added=True).collect()
     assert sum(r["length"] for r in got) == sum(len(TOKENIZER.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in odd_docs.collect())
     assert all(len(r["ids"]) == 4 * r["length"] for r in got)
     assert packing.pack(odd_docs.limit(0), JSON).collect() == []

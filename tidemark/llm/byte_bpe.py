@@ -84,30 +84,29 @@ def _monoid() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 PRODUCT, VALUE, COMPOSED = _monoid()
 STARTS = np.array([[_step(q, s)[1] for s in range(N_SYMBOLS)] for q in range(N_STATES)]).ravel()
 
-# Letters and numbers that Unicode 16 added. Python 3.13 has Unicode 15.1, and so do the classes of a
-# tokenizer.json's pre-tokeniser; the pattern of a .tiktoken file is matched with Unicode 16.
+# Letters and numbers that Unicode 16 added. Python 3.13 has Unicode 15.1; both libraries go by Unicode 16.
 LETTERS_16 = [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
 NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 
-_classes: dict[int, np.ndarray] = {}
+_classes: list[np.ndarray] = []
 
 
-def classes(unicode: int) -> np.ndarray:
-    """The class of each code point, under Unicode 15 or 16; built once a process."""
-    if unicode not in _classes:
+def classes() -> np.ndarray:
+    """The class of each code point under Unicode 16; built once a process."""
+    if not _classes:
         kinds = {"L": LETTER, "N": NUMBER}
         table = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
         table[WHITE] = WHITESPACE
-        for kind, ranges in ((LETTER, LETTERS_16), (NUMBER, NUMBERS_16)) if unicode >= 16 else ():
+        for kind, ranges in ((LETTER, LETTERS_16), (NUMBER, NUMBERS_16)):
             for a, b in ranges:
                 table[a : b + 1] = kind
-        _classes[unicode] = table
-    return _classes[unicode]
+        _classes.append(table)
+    return _classes[0]
 
 
-def symbols(codes: np.ndarray, breaks: np.ndarray, unicode: int) -> np.ndarray:
+def symbols(codes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     """codes: code points, with one at each of `breaks` that belongs to no text (so that look-ahead ends there)."""
-    kind = classes(unicode)[codes]
+    kind = classes()[codes]
     kind[breaks] = BREAK
     out = kind.copy()
     out[kind == BREAK] = S_BREAK
@@ -150,9 +149,9 @@ def states(sym: np.ndarray) -> np.ndarray:
     return VALUE[before, entry[None, :]].T.ravel()[:n]
 
 
-def boundaries(codes: np.ndarray, breaks: np.ndarray, unicode: int = 16) -> np.ndarray:
+def boundaries(codes: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     """Where slices begin, the breaks among them."""
-    sym = symbols(codes, breaks, unicode)
+    sym = symbols(codes, breaks)
     return np.flatnonzero(STARTS[states(sym) * np.uint8(N_SYMBOLS) + sym])
 
 
@@ -215,9 +214,8 @@ LONG = 64
 class Vocabulary:
     """Ids of bytes, pairs that merge, and the bytes of each id with their offsets."""
 
-    def __init__(self, tokens: dict[bytes, int], pairs: Iterable[tuple[bytes, bytes, int]], whole: bool, unicode: int, added: dict[str, int] | None = None):
-        """pairs: left, right and rank of each merge; whole: a slice that is a token needs no merging; unicode: of the classes; added: tokens at which texts are cut."""
-        self.unicode = unicode
+    def __init__(self, tokens: dict[bytes, int], pairs: Iterable[tuple[bytes, bytes, int]], whole: bool, added: dict[str, int] | None = None):
+        """pairs: left, right and rank of each merge; whole: a slice that is a token needs no merging; added: tokens at which texts are cut."""
         self.added = added or {}
         self.ids = tokens if whole else {}
         self.byte_ids = np.array([tokens[bytes([b])] for b in range(256)], np.int32)
@@ -235,7 +233,7 @@ class Vocabulary:
         """The text of a .tiktoken file: a token (base64) and its rank a line. Any two tokens that together are a token merge."""
         tokens = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
         pairs = ((t[:i], t[i:], r) for t, r in tokens.items() for i in range(1, len(t)) if t[:i] in tokens and t[i:] in tokens)
-        return cls(tokens, pairs, whole=True, unicode=16)
+        return cls(tokens, pairs, whole=True)
 
     @classmethod
     def from_json(cls, data: bytes, added: bool = False) -> Vocabulary:
@@ -258,7 +256,7 @@ class Vocabulary:
         merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         pairs = [(raw[a], raw[b], r) for r, (a, b) in enumerate(merges)]
         tokens = {t: i for t, i in tokens.items() if not (t.startswith(b"<|") and t.endswith(b"|>") and len(t) > 4)} | {bytes([b]): tokens[bytes([b])] for b in range(256)}
-        return cls(tokens, pairs, whole=False, unicode=15, added={t["content"]: t["id"] for t in extra})
+        return cls(tokens, pairs, whole=False, added={t["content"]: t["id"] for t in extra})
 
     def merge_long(self, slice_: bytes) -> list[int]:
         """One slice, by a heap of pairs over a linked list."""
@@ -403,7 +401,7 @@ class Encoder:
         joined = "\0".join(texts) + "\0"
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         breaks = np.cumsum([len(t) + 1 for t in texts]) - 1
-        starts = boundaries(codes, breaks, self.vocabulary.unicode)
+        starts = boundaries(codes, breaks)
         ends = np.append(starts[1:], len(codes))
         stops = np.searchsorted(starts, breaks)  # the breaks are no slices
         own = np.ones(len(starts), bool)
