@@ -137,3 +137,17 @@ def test_scores_use_the_text_alone(spark, data):
     a = toxicity.score(docs, model, ["doc_id"]).orderBy("doc_id").collect()
     b = toxicity.score(docs.withColumn("lang", F.lit("?")).withColumn("source", F.lit("?")), model, ["doc_id"]).orderBy("doc_id").collect()
     assert a == b
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    """A labelled id of very many rows counts once; rows and bytes that come to the driver are bounded."""
+    docs = spark.range(100_000).selectExpr("cast(if(id % 10 = 0, id, 5) as bigint) as doc_id", "concat('words of row ', id, ' and more') as text")
+    labels = spark.range(100_000).selectExpr("id as doc_id", "cast(id % 20 = 0 or id = 5 as int) as toxic")
+    steps = []
+    monkeypatch.setattr(toxicity.Ftrl, "step", lambda self, at, x, target, weight=1.0: steps.append((target, len(at))))
+    toxicity.train(docs, labels, per_class=50, epochs=1)
+    assert sum(y for y, _ in steps) <= 50 and len(steps) <= 100
+    steps.clear()
+    toxicity.train(docs, labels, per_class=50, most_bytes=400, epochs=1)
+    for k in (0, 1):
+        assert 0 < sum(4 * n for y, n in steps if y == k) <= 400

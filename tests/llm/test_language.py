@@ -69,3 +69,19 @@ def test_temperature_lowers_the_loss():
     target = rng.integers(0, 3, 400)
     logits = np.eye(3)[target] * 2 + rng.normal(size=(400, 3))
     assert abs(lg._temperature(logits * 10, target) / lg._temperature(logits, target) - 10) < 2
+
+
+def test_the_sample_is_bounded_and_of_all_languages(spark, monkeypatch):
+    """One id or none for very many rows, unlike or equal: the driver takes no more than the bound, and each language is learned."""
+    many = 20_000
+    same = spark.range(many).selectExpr("cast(7 as bigint) as doc_id", "concat('the cat sat on mat number ', id % 5000, ' and slept') as text", "'en' as lang")
+    none = spark.range(many).selectExpr("cast(null as bigint) as doc_id", "concat('le chat dort sur la table ', id, ' du jardin') as text", "'fr' as lang")
+    equal = spark.range(many).selectExpr("cast(null as bigint) as doc_id", "'die katze sitzt auf dem tisch und schaut' as text", "'de' as lang")
+    steps = []
+    monkeypatch.setattr(Ftrl, "step", lambda self, at, x, target, weight=1.0: steps.append(target))
+    model = lg.train(same.union(none).union(equal), per_language=10, epochs=1)
+    assert model.languages == ["de", "en", "fr"]
+    assert len(steps) == 21 - 21 // 5 and set(steps) <= {0, 1, 2}  # 1 + 10 + 10, a fifth held out
+    steps.clear()
+    lg.train(same, per_language=10, epochs=1, most_bytes=1000)
+    assert 1 <= len(steps) <= 8

@@ -3,8 +3,8 @@
 Texts are folded to lower-case letters, everything else to single spaces. Features are hashed 1-, 2- and
 3-grams; term frequencies are shares of a text's n-grams. Document frequencies are counted over *all* rows of
 the training fold; the weights are fitted by FTRL-proximal with elastic-net penalties on a sample of `per_language`
-training documents of each language (in expectation: by a hash of the id; a documented parameter), and a fifth of
-the sample sets the temperature.
+training documents of each language at most, the first in the order of a hash of id and text, equal ones once, and of
+`most_bytes` of counts (documented parameters), and a fifth of the sample sets the temperature.
 
 Defined results: lang_pred is ``und`` with score 0 where the text is null or has no letter, or where nothing could be
 learned. Ties go to the language that sorts first. Repeated rows and null ids stay; a null id is in fold 0. An empty
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, softmax
 from .kernel import batch_of, chunks
-from .store import dropped, fold_of, text_map, written
+from .store import dropped, fold_of, text_map, within, written
 
 BITS = 16
 SIZE = 1 << BITS
@@ -117,13 +117,14 @@ class LanguageModel:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (lang, chosen, text): document frequencies (bucket, n; bucket -1: documents) and the chosen rows' features."""
-    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("lang", pa.string()), ("at", pa.binary()), ("times", pa.binary())])
+    """From (lang, chosen, hash, text): document frequencies (bucket, n; bucket -1: documents) and the chosen rows' features, equal ones once a task."""
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), ("lang", pa.string()), ("hash", pa.int64()), ("at", pa.binary()), ("times", pa.binary())])
     df, docs = np.zeros(SIZE, np.int64), 0
+    before: set[tuple[str, int]] = set()  # of the chosen
     for batch in batches:
         for part, texts in chunks(batch, "text"):
             found, at, has = grams(texts)
-            langs, chosen = part.column(0).to_pylist(), part.column(1).to_pylist()
+            langs, chosen, hashes = (part.column(k).to_pylist() for k in range(3))
             rows = []
             for i in np.flatnonzero(has).tolist():
                 seen = np.zeros(SIZE, bool)
@@ -131,27 +132,29 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen[own] = True
                 df += seen
                 docs += 1
-                if chosen[i]:
+                if chosen[i] and (langs[i], hashes[i]) not in before:
+                    before.add((langs[i], hashes[i]))
                     times = np.bincount(own, minlength=SIZE)
                     hit = np.flatnonzero(times)
-                    rows.append((None, None, langs[i], hit.astype(np.uint16).tobytes(), times[hit].astype(np.int32).tobytes()))
+                    rows.append((None, None, langs[i], hashes[i], hit.astype(np.uint16).tobytes(), times[hit].astype(np.int32).tobytes()))
             if rows:
                 yield batch_of(schema, *zip(*rows, strict=True))
     hit = np.flatnonzero(df)
     none = [None] * (len(hit) + 1)
-    yield batch_of(schema, [*hit.tolist(), -1], [*df[hit].tolist(), docs], none, none, none)
+    yield batch_of(schema, [*hit.tolist(), -1], [*df[hit].tolist(), docs], none, none, none, none)
 
 
-def train(docs: DataFrame, per_language: int = 1500, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001, seed: int = 2, evidence: bool = False) -> LanguageModel:
+def train(docs: DataFrame, per_language: int = 1500, most_bytes: int = 256 << 20, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001, seed: int = 2, evidence: bool = False) -> LanguageModel:
     """docs: text, lang of the rows to learn from (null lang: ignored), and doc_id for the sample's hash. evidence: learns what known() needs, too."""
-    rows = docs.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where("lang is not null and text is not null").withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()}  # a row a language
     if not sizes:
         return LanguageModel([], np.zeros((0, SIZE), np.float32), np.zeros(0), 1.0)
     languages = sorted(sizes)
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))))[F.col("lang")]
-    chosen = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
-    table = written(text_map(rows.select("lang", chosen.alias("chosen"), "text"), _counts, "bucket int, n bigint, lang string, at binary, times binary"), "language-counts")
+    # a cut at the hash below which somewhat more rows lie than are wanted; the exact limit comes after
+    cut = {lang: int(-(2**63) + min(1.0, (1.1 * per_language + 4 * per_language**0.5 + 10) / n) * (2**64 - 1)) for lang, n in sizes.items()}
+    bound = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(cut[lang], 2**63 - 1))))[F.col("lang")]
+    table = written(text_map(rows.select("lang", (F.col("hash") <= bound).alias("chosen"), "hash", "text"), _counts, "bucket int, n bigint, lang string, hash bigint, at binary, times binary"), "language-counts")
     df = np.zeros(SIZE)
     total = 1
     for r in table.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # 65,537 rows at most
@@ -162,7 +165,8 @@ def train(docs: DataFrame, per_language: int = 1500, epochs: int = 4, alpha: flo
     idf = np.log((1 + total) / (1 + df)) + 1
     index = {lang: i for i, lang in enumerate(languages)}
     sample, counted = [], []
-    for r in table.where("lang is not null").select("lang", "at", "times").toLocalIterator():  # the sample
+    chosen = within(table.where("lang is not null").dropDuplicates(["lang", "hash"]), ["lang"], F.col("hash"), F.length("at") + F.length("times"), per_language, most_bytes // len(languages))
+    for r in chosen.select("lang", "at", "times").toLocalIterator():  # per_language rows of each language and most_bytes at most
         at, times = np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["times"], np.int32)
         sample.append((index[r["lang"]], at, times * (SCALE / times.sum()) * idf[at]))
         if evidence:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -32,9 +33,11 @@ def text_map(df: DataFrame, run, schema) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; only where it is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir as the session has it, a folder that driver and executors share; where it is unset, a temporary one if all of them are this process, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -72,3 +75,10 @@ def by_hash(df: DataFrame, columns: list[str], seed: int, n: int) -> DataFrame:
         share = min(1.0, (n + 4 * n**0.5 + 10) / rows)
         df = df.where(h <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
     return df.orderBy(h, *columns).limit(n)
+
+
+def within(rows: DataFrame, keys: list[str], order: Column, size: Column, most: int, most_bytes: int) -> DataFrame:
+    """Of each key's rows the first `most` in an order, and no more than `most_bytes` of their sizes, but one row at least."""
+    by = Window.partitionBy(*keys).orderBy(order, size)
+    rows = rows.withColumn("place__", F.row_number().over(by)).withColumn("bytes__", F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.where((F.col("place__") <= most) & ((F.col("bytes__") <= most_bytes) | (F.col("place__") == 1))).drop("place__", "bytes__")

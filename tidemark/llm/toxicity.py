@@ -2,12 +2,13 @@
 
 Features are the presence of words, of pairs of adjacent words and of pairs with one word between them, lower-cased
 and without punctuation, hashed to 2**20 coordinates. L1 leaves few of them with a weight; those few are broadcast. The
-weights are fitted on a sample of `per_class` labelled documents of each class at most (by a hash of the id: a documented
-parameter), and the intercept is moved to the classes' shares among all labelled rows.
+weights are fitted on a sample of `per_class` labelled documents of each class at most, one row an id, and of `most_bytes` bytes of
+coordinates of each class at most (in the order of a hash of the id; documented parameters), and the intercept is moved to
+the classes' shares among all labelled rows.
 
 Defined results: null and empty texts get the score of a text without any feature. Rows without a label
-are scored, not learned from; a document with several labels counts as toxic if one says so. Without rows of both
-classes every score is the share of toxic ones (0 if there are none). Repeated rows and null ids stay; a null id is in
+are scored, not learned from; a document with several labels counts as toxic if one says so. Without labels of both
+classes every score is the share of toxic ones (0 if there are none); without a document of both, that of the labels. Repeated rows and null ids stay; a null id is in
 fold 0. An empty table gives no rows.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .ftrl import Ftrl
 from .kernel import C1, C2, C3, LOWER, U64, Words, batch_of, chunks, mix
-from .store import by_hash, fold_of, text_map
+from .store import by_hash, dropped, fold_of, text_map, within, written
 
 BITS = 20
 #: Bytes between words: all of ASCII but letters and digits.
@@ -78,15 +79,15 @@ class ToxicityModel:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("label", pa.int32()), ("at", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("at", pa.binary())])
     for batch in batches:
         for part, texts in chunks(batch, "text"):
             found, first = features(texts)
             at = [np.unique(np.concatenate([f[_span(k, a, i)] for k, (f, a) in enumerate(zip(found, first, strict=True))])).tobytes() for i in range(len(texts))]
-            yield batch_of(schema, part.column(0).cast(pa.int32()), at)
+            yield batch_of(schema, part.column(0), part.column(1).cast(pa.int32()), at)
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, epochs: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.01, weight: float = 3.0, seed: int = 3) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class: int = 3000, most_bytes: int = 64 << 20, epochs: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.01, weight: float = 3.0, seed: int = 3) -> ToxicityModel:
     """docs (doc_id, text), labels (doc_id, `column`), of the rows to learn from. weight: of a toxic document's error."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label")).cache()
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
@@ -94,9 +95,15 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     if not n1 or not n0:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), 60.0 if n1 else -60.0)
     ids = by_hash(marks.where("label = 1"), ["doc_id"], seed, per_class).union(by_hash(marks.where("label = 0"), ["doc_id"], seed, per_class))
-    rows = text_map(docs.join(F.broadcast(ids), "doc_id").select("label", "text"), _extract, "label int, at binary").collect()  # 2 * per_class rows
+    one = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    table = written(text_map(one.select("doc_id", "label", "text"), _extract, "doc_id bigint, label int, at binary"), "toxicity-sample")
     marks.unpersist()
+    rows = within(table, ["label"], F.xxhash64(F.lit(seed), "doc_id"), F.length("at"), per_class, most_bytes).select("label", "at").collect()  # 2 * per_class rows, 2 * most_bytes at most
+    dropped(table)
     sample = sorted((r["label"], bytes(r["at"])) for r in rows)
+    taken = [sum(y == k for y, _ in sample) for k in (0, 1)]
+    if not all(taken):  # documents of one class alone are here
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(n1 / n0)))
     rng = np.random.default_rng(seed)
     model = Ftrl(1 << BITS, 1, alpha, beta, l1, l2)
     for _ in range(epochs):
@@ -105,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
             model.step(at, np.ones(len(at)), sample[i][0], weight if sample[i][0] else 1.0)
     weights = model.weights(slice(0, 1 << BITS))[:, 0]
     hit = np.flatnonzero(weights)
-    shift = np.log(n1 / n0) - np.log(min(n1, per_class) / min(n0, per_class))
+    shift = np.log(n1 / n0) - np.log(taken[1] / taken[0])
     return ToxicityModel(hit, weights[hit].astype(np.float32), float(model.intercept()[0] + shift))
 
 
