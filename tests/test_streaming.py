@@ -45,3 +45,46 @@ def test_monitor(spark, data):
     batch = {(r["path"][0], r["kind"], r["name"]): (r["cnt"], r["subtype"], json.loads(r["report"])) for r in mon.monitor(messages.from_events(e), settings).collect()}
     got = ps.to_present(ps.stream_monitor(messages.from_events(s), settings), ["path", "kind", "name"])
     assert {(r["path"], r["kind"], r["name"]): (r["cnt"], r["subtype"], json.loads(r["report"])) for r in got.collect()} == batch
+
+
+def alert_values(interval: int) -> list[str]:
+    """Nearly all values of an interval are different, but for the 8th, 10th and 12th, where they are one."""
+    return ["same" if interval in (8, 10, 12) else f"{interval}-{i}" if i > interval % 2 else "dup" for i in range(20)]
+
+
+ALERTS = mon.Settings(samples=6, sample_interval_ns=1000, max_set_size=8, duplicate_change=0.5, many=10)
+
+
+def test_alerts_are_counted_over_micro_batches(spark, tmp_path):
+    """A report after each of several micro-batches, and the same reports from one entry: alerts that were shown widen the band of later ones."""
+    schema = "key string, seq bigint, ns bigint, value string"
+    one, expected = mon.Entry(ALERTS, "field"), []
+    for n in range(14):
+        rows = [("k", n * 100 + i, n * 1000 + i, v) for i, v in enumerate(alert_values(n))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n:03d}")
+        for _, _, ns, v in rows:
+            one.add(ns, v, 0, "json", False)
+        expected.append(one.rows()[0][8])
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").selectExpr("*", "0 as code", "'json' as representation", "false as repetition")
+    folded = ps.stream_fold(s, ["key"], ["seq"], ["ns", "value", "code", "representation", "repetition"], lambda *k: mon.Entry(ALERTS, "field"), mon.ENTRY_SCHEMA)
+    got = []
+    q = folded.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").foreachBatch(lambda b, n: got.extend(r["report"] for r in b.collect())).start()
+    q.awaitTermination()
+    assert sorted(got) == sorted(expected)
+    assert [json.loads(r)["alerted"] for r in expected[:7]] == [0] * 7 and json.loads(got[-1])["alerted"] >= 1 and "alert" not in json.loads(got[-1])
+
+
+def test_reports_come_by_the_clock(spark, tmp_path):
+    """Keys without new data are reported again and again."""
+    import time
+
+    spark.createDataFrame([("a", 1, 1.0), ("b", 2, 5.0)], "k string, seq bigint, x double").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    s = spark.readStream.schema("k string, seq bigint, x double").parquet(f"{tmp_path}/in/*")
+    folded = ps.stream_fold(s, ["k"], ["seq"], ["x"], lambda *k: p2._Rows(p2.Histogram(4)), "marker int, estimate double, n bigint", tick_seconds=0.5)
+    seen = []
+    q = ps.every(folded, 1, f"{tmp_path}/cp", lambda b, n: seen.append({r["k"] for r in b.collect()}))
+    until = time.time() + 60
+    while time.time() < until and sum(x == {"a", "b"} for x in seen) < 3:
+        time.sleep(0.5)
+    q.stop()
+    assert sum(x == {"a", "b"} for x in seen) >= 3

@@ -220,11 +220,20 @@ class Entry:
     # ---- reporting
 
     def rows(self) -> list[tuple]:
+        """report() as a row."""
         r = self.report()
         return [(r["cnt"], self.type, self.representation, self.repetition, self.shape, self.created, self.updated, None if self.slot is None else self.slot + 1, json.dumps(r, ensure_ascii=False, sort_keys=True), r.get("alert"), json.dumps(r["graph"]) if "graph" in r else None, [(str(_plain(v)), n) for v, (_, n) in (self.values or {}).items()] if self.shape == "set" else None)]
 
     def report(self) -> dict:
-        """What the entry shows now; with "alert" if it drifts."""
+        """shown(), with an alert in it counted: that widens the band of those to come, and belongs to the state that is kept."""
+        out = self.shown()
+        if "alert" in out:
+            self.alerted += 1
+            out["alerted"] = self.alerted
+        return out
+
+    def shown(self) -> dict:
+        """What the entry shows now; with "alert" if it drifts. Nothing changes by it."""
         out: dict = {"cnt": self.seen, "subtype": self.shape}
         if self.shape != "unknown":
             out |= {"created": self.created, "updated": self.updated, "alerted": self.alerted}
@@ -263,7 +272,6 @@ class Entry:
         if self.s.duplicate_change is not None and total[previous] >= self.s.many and others.sum() > self.s.samples // 2 and self._long_active():
             room = (high - low) * self.s.duplicate_change * (self.alerted + 1)
             if not low - room <= pct[previous] <= high + room:
-                self.alerted += 1
                 out |= {"alert": "duplicate", "previous_pct": float(pct[previous])}
 
     def _long_active(self) -> bool:
@@ -280,7 +288,6 @@ class Entry:
         active = int((others & (totals >= self.s.alert_submissions)).sum())
         into = self.updated % self.s.sample_interval_ns / self.s.sample_interval_ns
         if totals[self.slot] >= self.s.alert_submissions and pcc <= self.s.alert_pcc and active > self.s.samples // 2 and self._long_active() and into > 0.25:
-            self.alerted += 1
             out |= {"alert": "pcc", "graph": {"current": np.nan_to_num(data[self.slot].astype(float)).tolist(), "closest": np.nan_to_num(data[row].astype(float)).tolist()}}
 
 

@@ -30,21 +30,32 @@ def checkpoint_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-v{STATE_VERSION}"
 
 
-def stream_fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], make: Callable[..., object], schema: str) -> DataFrame:
-    """ordered_fold() for a stream: after each micro-batch, the rows of every key that it touched (update mode)."""
+def stream_fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], make: Callable[..., object], schema: str, tick_seconds: float | None = None) -> DataFrame:
+    """ordered_fold() for a stream: after each micro-batch, the rows of every key that it touched (update mode).
+
+    tick_seconds: also the rows of every key that has emitted nothing for so long, whether or not there are new data: the
+    timer of a periodic report. What emitting changes in a fold (alerts that it counts) is part of the state that is stored.
+    A key's rows of one micro-batch are sorted in memory: limit the batch at the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
+    """
     fields = T.StructType([df.schema[k] for k in keys] + list(T._parse_datatype_string(schema).fields))
     names = [f.name for f in fields]
+    wait = None if tick_seconds is None else int(tick_seconds * 1000)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fold = pickle.loads(state.get[0]) if state.exists else make(*key)
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        for row in zip(*(rows[c].tolist() for c in columns), strict=True):
-            fold.add(*(None if isinstance(x, float) and x != x else x for x in row))
+        if not state.hasTimedOut:
+            rows = pd.concat(list(parts)).sort_values(order, kind="stable")
+            for row in zip(*(rows[c].tolist() for c in columns), strict=True):
+                fold.add(*(None if isinstance(x, float) and x != x else x for x in row))
+        out = [(*key, *r) for r in fold.rows()]
         state.update((pickle.dumps(fold),))
-        yield pd.DataFrame([(*key, *r) for r in fold.rows()], columns=names)
+        if wait is not None:
+            state.setTimeoutDuration(wait)
+        yield pd.DataFrame(out, columns=names)
 
     chosen = df.select(*keys, *columns, *[c for c in order if c not in columns and c not in keys])
-    return chosen.groupBy(*keys).applyInPandasWithState(run, fields, "state binary", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
+    return chosen.groupBy(*keys).applyInPandasWithState(run, fields, "state binary", "update", timeout)
 
 
 class _QuantileOf:
@@ -78,10 +89,10 @@ def stream_sketch(events: DataFrame, key: str, n: str, order: str, shape: Shape,
     return stream_fold(updates(events, key, n), groups, [order], ["key__", "n__"], lambda *k: _ConservativeFold(shape), "d int, w int, cnt bigint")
 
 
-def stream_monitor(messages: DataFrame, settings: Settings = Settings(), hierarchy: list[str] = ["Logger"], exclude: list[str] | None = None) -> DataFrame:
-    """The monitor's entries after each micro-batch; the path is joined with ``->``, as state keys are flat."""
+def stream_monitor(messages: DataFrame, settings: Settings = Settings(), hierarchy: list[str] = ["Logger"], exclude: list[str] | None = None, tick_seconds: float | None = None) -> DataFrame:
+    """The monitor's entries after each micro-batch, and with tick_seconds whenever so long has passed; the path is joined with ``->``, as state keys are flat."""
     entries = explode_entries(messages, hierarchy, exclude).withColumn("path", F.array_join("path", "->"))
-    return stream_fold(entries, ENTRY_KEYS, ["seq", "part"], ENTRY_COLUMNS, lambda path, kind, name: Entry(settings, kind), ENTRY_SCHEMA)
+    return stream_fold(entries, ENTRY_KEYS, ["seq", "part"], ENTRY_COLUMNS, lambda path, kind, name: Entry(settings, kind), ENTRY_SCHEMA, tick_seconds)
 
 
 def stream_ring(events: DataFrame, ts: str, v: str, ring: Ring) -> DataFrame:
@@ -126,7 +137,12 @@ def to_present(stream: DataFrame, keys: list[str]) -> DataFrame:
     import uuid
 
     spark = stream.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
+    root = root.rstrip("/")
     name = uuid.uuid4().hex
     path = f"{root}/stream-{name}"
 
