@@ -19,8 +19,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import C1, U64, batch_of, mix
@@ -187,33 +188,41 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bucket(splits: list[int], low: int, high: int) -> Column:
-    """The number of splits below doc_id, by a balanced tree of comparisons."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(F.col("doc_id") > splits[mid], _bucket(splits, mid + 1, high)).otherwise(_bucket(splits, low, mid))
+def _places(splits: list[int]):
+    """A column of the buckets that a doc_id goes to: its own, which ends at the first split that isn't less, and as a copy the next one if it is a split itself."""
+    at = np.array(splits, np.int64)
+    size = max(len(at), 1)
+
+    @F.pandas_udf("array<struct<bucket:int,copy:boolean>>")
+    def places(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        x = ids.where(known, 0).astype("int64").to_numpy()
+        bucket = np.where(known, np.searchsorted(at, x), 0)  # none is above the last split
+        copied = (known & (at[np.minimum(bucket, size - 1)] == x)) if len(at) else np.ones(len(x), bool)
+        return pd.Series([[{"bucket": b, "copy": False}, {"bucket": (b + 1) % size, "copy": True}] if c else [{"bucket": b, "copy": False}] for b, c in zip(bucket.tolist(), copied.tolist(), strict=True)])
+
+    return places
+
+
+#: Bytes of text that are worth a bucket.
+BUCKET_BYTES = 64 << 20
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) in runs of descending doc_id: bucket, copy, doc_id, text, sorted within partitions.
 
     A bucket is a range of ids between quantiles that are ids themselves; the document that follows a bucket's last one
-    comes along as a copy (copy: true), the first document of all after the last. Only the quantiles come to the driver: two for each shuffle partition.
+    comes along as a copy (copy: true), the first document of all after the last. There are as many buckets as shuffle partitions, or as
+    many as BUCKET_BYTES go into the texts if that is more; only the quantiles come to the driver.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    n = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q"), F.max("doc_id").alias("top")).first()
     splits = sorted({*(found["q"] or []), found["top"]} - {None})
-    if splits:
-        bucket = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(_bucket(splits, 0, len(splits) - 1))
-        is_split = F.col("doc_id").isin(splits)
-    else:
-        bucket, is_split = F.lit(0), F.lit(True)
-    size = max(len(splits), 1)
-    rows = rows.withColumn("bucket", bucket).select("doc_id", "text", F.explode(F.when(is_split, F.array(F.struct(F.col("bucket"), F.lit(False).alias("copy")), F.struct(((F.col("bucket") + 1) % size).alias("bucket"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("bucket"), F.lit(False).alias("copy"))))).alias("place"))
+    rows = rows.select("doc_id", "text", F.explode(_places(splits)("doc_id")).alias("place"))
     rows = rows.select(F.col("place.bucket").alias("bucket"), F.col("place.copy").alias("copy"), "doc_id", "text")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), "text")
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), "text")
 
 
 MOST = 400_000
