@@ -36,7 +36,7 @@ def _diagonals(df: DataFrame, n: int, m: int, percent: float, seed: int) -> Data
     diags = df.sparkSession.range(m // 4 + 1, length).withColumnRenamed("id", "diag")
     if percent >= 100:
         return diags
-    return diags.orderBy(F.xxhash64("diag", F.lit(seed)), "diag").limit(int(percent / 100 * length + 1) + 1)
+    return diags.orderBy(F.md5(F.concat_ws(":", "diag", F.lit(seed)).cast("binary")), "diag").limit(int(percent / 100 * length + 1) + 1)
 
 
 def matrix_profile(series: DataFrame, n: int, m: int, keys: list[str] | None = None, percent: float = 100, seed: int = 0) -> DataFrame:

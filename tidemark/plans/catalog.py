@@ -215,9 +215,9 @@ def hourly_ring_with_stats(spark, sf_dir):
 
 # ---- matrices
 
-USERS_BY_HOUR = Matrix(20, 24)
+USERS_BY_HOUR = Matrix(25, 24)
 M_CELLS = f"(SELECT CAST(user_id % 25 AS INT) AS r, CAST(hour % 24 AS INT) AS c, seq, cents FROM {EVENTS})"
-M_INT = f"(SELECT r, c, CAST(least(greatest(sum(cents), -2147483648), 2147483647) AS INT) AS v FROM {M_CELLS} WHERE r < 20 GROUP BY ALL)"
+M_INT = f"(SELECT r, c, CAST(least(greatest(sum(cents), -2147483648), 2147483647) AS INT) AS v FROM {M_CELLS} GROUP BY ALL)"
 E_CELLS = "(SELECT CAST(vec_id AS INT) AS r, CAST(i AS INT) AS c, embedding[i + 1] AS v FROM embeddings, (SELECT unnest(range(64)) AS i))"
 
 
@@ -236,7 +236,7 @@ def vectors(spark, sf_dir) -> DataFrame:
 add("matrix_build", f"SELECT r, c, v FROM {M_INT}")(int_matrix)
 
 
-@add("matrix_set", f"SELECT r, c, CAST(arg_max(cents, seq) AS INT) AS v FROM {M_CELLS} WHERE r < 20 GROUP BY ALL")
+@add("matrix_set", f"SELECT r, c, CAST(arg_max(cents, seq) AS INT) AS v FROM {M_CELLS} GROUP BY ALL")
 def matrix_set(spark, sf_dir):
     return USERS_BY_HOUR.set(user_cells(spark, sf_dir))
 
@@ -311,10 +311,10 @@ def matrix_merge_set(spark, sf_dir):
 
 def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     v = vectors(spark, sf_dir)
-    return v.where("r % 2 = 0"), v.where("r % 3 = 0").withColumn("v", F.when(F.col("c") % 5 == 0, F.lit(float("nan")).cast("float")).otherwise(F.col("v")))
+    return v, v.withColumn("c", 63 - F.col("c")).withColumn("v", F.when(F.col("c") % 5 == 0, F.lit(float("nan")).cast("float")).otherwise(F.col("v")))
 
 
-HALVES = f"SELECT r, c, v, 0 AS part FROM {E_CELLS} WHERE r % 2 = 0 UNION ALL SELECT r, c, CASE WHEN c % 5 = 0 THEN NULL ELSE v END, 1 FROM {E_CELLS} WHERE r % 3 = 0"
+HALVES = f"SELECT r, c, v, 0 AS part FROM {E_CELLS} UNION ALL SELECT r, 63 - c, CASE WHEN (63 - c) % 5 = 0 THEN NULL ELSE v END, 1 FROM {E_CELLS}"
 
 
 @add("matrix_merge_add_float", f"SELECT r, c, round(CAST(CAST(sum(CAST(v AS DOUBLE)) AS FLOAT) AS DOUBLE), 5) + 0.0 AS v FROM ({HALVES}) GROUP BY ALL")
@@ -324,11 +324,11 @@ def matrix_merge_add_float(spark, sf_dir):
     return got.select("r", "c", rounded(F.when(~F.isnan("v"), F.col("v").cast("double")), 5).alias("v"))
 
 
-@add("matrix_merge_set_float", f"SELECT r, c, round(CAST(CASE WHEN r < 90 AND c < 32 THEN b ELSE a END AS DOUBLE), 5) + 0.0 AS v FROM (SELECT r, c, max(v) FILTER (part = 0) AS a, max(v) FILTER (part = 1) AS b, bool_or(part = 0) AS ha, bool_or(part = 1) AS hb FROM ({HALVES}) GROUP BY ALL) WHERE CASE WHEN r < 90 AND c < 32 THEN hb ELSE ha END")
+@add("matrix_merge_set_float", f"SELECT r, c, round(CAST(CASE WHEN c < 32 THEN b ELSE a END AS DOUBLE), 5) + 0.0 AS v FROM (SELECT r, c, max(v) FILTER (part = 0) AS a, max(v) FILTER (part = 1) AS b, bool_or(part = 0) AS ha, bool_or(part = 1) AS hb FROM ({HALVES}) GROUP BY ALL) WHERE CASE WHEN c < 32 THEN hb ELSE ha END")
 def matrix_merge_set_float(spark, sf_dir):
     a, b = _halves(spark, sf_dir)
-    part = Matrix(90, 32, "float")
-    got = Matrix(1_000_000, 64, "float").merge_set(a, b.where("r < 90 and c < 32"), part)
+    part = Matrix(1_000_000, 32, "float")
+    got = Matrix(1_000_000, 64, "float").merge_set(a, b.where("c < 32"), part)
     return got.select("r", "c", rounded(F.when(~F.isnan("v"), F.col("v").cast("double")), 5).alias("v"))
 
 
@@ -385,7 +385,11 @@ def mp_profile_by_type(spark, sf_dir):
     return p.select("event_type", "i", rounded(F.when(F.col("mp") < float("inf"), F.col("mp")), 3).alias("mp"))
 
 
-@add("mp_profile_sampled")
+MP_DIAGONALS = f"(SELECT unnest(range({MP_M // 4 + 1}, {MP_N - MP_M + 1})) AS diag ORDER BY md5(diag || ':1'), diag LIMIT {int(0.25 * (MP_N - MP_M + 1) + 1) + 1})"
+MP_SAMPLED = MP_SQL.replace(f"JOIN w b ON a.i - b.i > {MP_M // 4}", f"JOIN w b ON a.i - b.i IN (SELECT diag FROM {MP_DIAGONALS})")
+
+
+@add("mp_profile_sampled", f"SELECT x.i, coalesce(round(m.mp, 5), CAST('Infinity' AS DOUBLE)) AS mp, coalesce(m.mpi, 0) AS mpi FROM (SELECT unnest(range({MP_N - MP_M + 1})) AS i) x LEFT JOIN {MP_SAMPLED} m USING (i)")
 def mp_profile_sampled(spark, sf_dir):
     return profile.matrix_profile(series(spark, sf_dir), MP_N, MP_M, percent=25, seed=1).withColumn("mp", rounded(F.col("mp"), 5))
 
@@ -444,7 +448,7 @@ def exact_percentiles(spark, sf_dir):
     return p2.exact_percentiles(_cents(spark, sf_dir), "x", [0.25, 0.5, 0.95], ["event_type"]).withColumn("value", rounded(F.col("value"), 4))
 
 
-@add("mergeable_percentiles")
+@add("mergeable_percentiles", f"SELECT event_type, p, CAST(v[CAST(ceil(p * len(v)) AS BIGINT)] AS DOUBLE) AS value FROM (SELECT event_type, list_sort(list(cents)) AS v FROM {EVENTS} GROUP BY 1), (SELECT unnest([0.25, 0.5, 0.95]::DOUBLE[]) AS p)")
 def mergeable_percentiles(spark, sf_dir):
     return p2.mergeable_percentiles(_cents(spark, sf_dir), "x", [0.25, 0.5, 0.95], ["event_type"])
 
@@ -457,6 +461,15 @@ CMS_KEYS = f"(SELECT user_id, n, h1, h2, d, (h1 + d * h2 + d * d) % 4294967296 %
 CMS_CELLS = f"(SELECT CAST(d AS INT) AS d, CAST(w AS INT) AS w, CAST(sum(n) AS BIGINT) AS cnt FROM {CMS_KEYS} GROUP BY ALL)"
 
 
+NOT_FINITE = "CASE WHEN event_id % 11 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 13 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN event_id % 17 = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE cents END"
+
+
+@add("running_stats_not_finite", STATS.format(e=f"(SELECT event_type, x AS cents FROM (SELECT event_type, {NOT_FINITE} AS x FROM {EVENTS}) WHERE isfinite(x))"))
+def running_stats_not_finite(spark, sf_dir):
+    """NaN and infinities among the values are no observations."""
+    return _stats(events(spark, sf_dir).withColumn("cents", F.expr(NOT_FINITE)))
+
+
 def _keyed(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).withColumn("key", F.col("user_id").cast("string"))
 
@@ -487,7 +500,42 @@ def cms_counts(spark, sf_dir):
     return sketches.exact_counts(_keyed(spark, sf_dir).withColumn("n", F.expr(SIGNED)), "key", "n")
 
 
-@add("cms_conservative_query")
+def xxh32_sql(key: str, seed: int) -> str:
+    """XXH32 of an ASCII key of fewer than 16 characters, from its published definition."""
+    word = "4294967296"
+    codes = f"list_transform(string_split({key}, ''), lambda c: CAST(ascii(c) AS HUGEINT))"
+    turn = lambda x, n: f"(({x}) * {2**n} % {word} + ({x}) // {2 ** (32 - n)})"
+    four = f"list_transform(range(0, len({key}) // 4), lambda i: CAST(ascii({key}[4 * i + 1]) + 256 * ascii({key}[4 * i + 2]) + 65536 * ascii({key}[4 * i + 3]) + 16777216 * CAST(ascii({key}[4 * i + 4]) AS BIGINT) AS HUGEINT))"
+    h = f"list_reduce(list_concat([CAST({seed} + 374761393 + len({key}) AS HUGEINT)], {four}), lambda h, x: " + turn(f"(h + x * 3266489917) % {word}", 17) + f" * 668265263 % {word})"
+    h = f"list_reduce(list_concat([{h}], list_slice({codes}, len({key}) // 4 * 4 + 1, len({key}))), lambda h, x: " + turn(f"(h + x * 374761393) % {word}", 11) + f" * 2654435761 % {word})"
+    for shift, prime in ((15, 2246822519), (13, 3266489917)):
+        h = f"list_transform([{h}], lambda h: xor(h, h // {2**shift}) * {prime} % {word})[1]"
+    return f"CAST(list_transform([{h}], lambda h: xor(h, h // 65536))[1] AS BIGINT)"
+
+
+KEYS = "(SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events UNION SELECT DISTINCT props FROM events UNION SELECT DISTINCT event_type FROM events)"
+
+
+@add("xxh32_keys", f"SELECT key, {xxh32_sql('key', 1)} AS h1, {xxh32_sql('key', 2)} AS h2 FROM {KEYS} WHERE len(key) < 16")
+def xxh32_keys(spark, sf_dir):
+    e = events(spark, sf_dir)
+    keys = e.select(F.col("user_id").cast("string").alias("key")).union(e.select("props")).union(e.select("event_type")).distinct().where("length(key) < 16")
+    return keys.select("key", *(sketches.xxh32(F.col("key").cast("binary"), seed).alias(f"h{seed}") for seed in (1, 2)))
+
+
+SPOTS = f"list_transform(range({SHAPE.depth}), lambda d: CAST(d * {SHAPE.width} + (h1 + d * h2 + d * d) % 4294967296 % {SHAPE.width} + 1 AS BIGINT))"
+#: Conservative updates one after the other, with the whole sketch as a list.
+CONSERVATIVE = f"""(WITH RECURSIVE k AS MATERIALIZED (SELECT key, {SPOTS} AS spots FROM (SELECT key, {xxh32_sql('key', 1)} AS h1, {xxh32_sql('key', 2)} AS h2 FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events))),
+ u AS MATERIALIZED (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY seq) AS rn, spots, {SIGNED} AS n FROM {EVENTS} JOIN k ON k.key = CAST(user_id AS VARCHAR)),
+ f AS (SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS rn, list_transform(range({SHAPE.width * SHAPE.depth}), lambda i: CAST(0 AS BIGINT)) AS cells, CAST(0 AS BIGINT) AS items, CAST(0 AS BIGINT) AS "unique" FROM u UNION ALL
+ SELECT event_type, rn, CASE WHEN n > 0 THEN list_transform(cells, lambda x, i: CASE WHEN list_contains(spots, i) THEN greatest(x, low + n) ELSE x END) WHEN low > 0 THEN list_transform(cells, lambda x, i: CASE WHEN list_contains(spots, i) THEN x - least(-n, low) ELSE x END) ELSE cells END,
+ items + CASE WHEN n > 0 THEN n ELSE -least(-n, low) END, "unique" + CASE WHEN n > 0 AND low = 0 THEN 1 WHEN n < 0 AND low > 0 AND -n >= low THEN -1 ELSE 0 END
+ FROM (SELECT u.event_type, u.rn, f.cells, f.items, f."unique", u.spots, u.n, list_min(list_transform(u.spots, lambda i: f.cells[i])) AS low FROM f JOIN u ON u.event_type = f.event_type AND u.rn = f.rn + 1))
+ SELECT l.event_type, k.key, CAST(list_min(list_transform(k.spots, lambda i: l.cells[i])) AS BIGINT) AS estimate, CAST(l.items AS BIGINT) AS items, CAST(l."unique" AS BIGINT) AS "unique"
+ FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY rn DESC) = 1) l JOIN (SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS key FROM events) o USING (event_type) JOIN k USING (key))"""
+
+
+@add("cms_conservative_query", f"SELECT * FROM {CONSERVATIVE}")
 def cms_conservative_query(spark, sf_dir):
     e = _keyed(spark, sf_dir).withColumn("n", F.expr(SIGNED))
     by = ["event_type"]
@@ -513,7 +561,11 @@ def set_counts(spark, sf_dir):
     return hitters.set_counts(events(spark, sf_dir), "user_id", "seq", ["event_type"])
 
 
-@add("heavy_hitters_mg")
+@add("heavy_hitters_mg", f"""WITH RECURSIVE u AS MATERIALIZED (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY seq) AS rn, CAST(user_id AS VARCHAR) AS x FROM {EVENTS}),
+ f AS (SELECT DISTINCT event_type, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(v VARCHAR, n BIGINT)[]) AS w FROM u UNION ALL
+ SELECT u.event_type, u.rn, CASE WHEN len(list_filter(w, lambda e: e.v = x)) > 0 THEN list_transform(w, lambda e: {{'v': e.v, 'n': e.n + CASE WHEN e.v = x THEN 1 ELSE 0 END}})
+ WHEN len(w) < 50 THEN list_append(w, {{'v': x, 'n': CAST(1 AS BIGINT)}}) ELSE list_transform(list_filter(w, lambda e: e.n > 1), lambda e: {{'v': e.v, 'n': e.n - 1}}) END FROM f JOIN u ON u.event_type = f.event_type AND u.rn = f.rn + 1)
+ SELECT event_type, e.v AS value, e.n AS weight FROM (SELECT event_type, unnest(w) AS e FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY rn DESC) = 1))""")
 def heavy_hitters_mg(spark, sf_dir):
     return hitters.heavy_hitters(events(spark, sf_dir), "user_id", "seq", 50, ["event_type"])
 
@@ -570,7 +622,7 @@ def state_ring(spark, sf_dir):
     return states.ring_from_state(states.ring_state(hourly(spark, sf_dir), HOURLY), HOURLY)
 
 
-@add("state_matrix", f"SELECT CAST(a AS INT) AS r, CAST(b AS INT) AS c, coalesce(v, 0) AS v FROM (SELECT unnest(range(20)) AS a), (SELECT unnest(range(24)) AS b) LEFT JOIN {M_INT} ON r = a AND c = b")
+@add("state_matrix", f"SELECT CAST(a AS INT) AS r, CAST(b AS INT) AS c, coalesce(v, 0) AS v FROM (SELECT unnest(range(25)) AS a), (SELECT unnest(range(24)) AS b) LEFT JOIN {M_INT} ON r = a AND c = b")
 def state_matrix(spark, sf_dir):
     return states.matrix_from_state(states.matrix_state(int_matrix(spark, sf_dir), USERS_BY_HOUR), USERS_BY_HOUR)
 
@@ -621,9 +673,13 @@ def monitor_set_counts(spark, sf_dir):
     return mon.set_counts(_monitored(spark, sf_dir)).withColumn("path", F.array_join("path", "->"))
 
 
+#: Days compared with days, and every deviation an alert.
+DRIFT = mon.Settings(samples=6, sample_interval_ns=24 * HOUR, alert_submissions=1, alert_pcc=0.99, many=1, duplicate_change=0.0)
+
+
 @add("monitor_drift")
 def monitor_drift(spark, sf_dir):
-    return mon.alerts(_monitored(spark, sf_dir)).withColumn("path", F.array_join("path", "->"))
+    return mon.alerts(mon.monitor(_messages(spark, sf_dir), DRIFT)).withColumn("path", F.array_join("path", "->"))
 
 
 @add("monitor_report_json")
@@ -651,6 +707,15 @@ def stream_ring_keyed(spark, sf_dir):
     return processors.to_present(processors.stream_ring_keyed(e, "ns", "cents", "event_id", HOURLY), ["event_type"])
 
 
+@add("stream_ring_keyed_late", f"""WITH e AS (SELECT event_type, seq_late, cents, ns // {HOUR} AS bucket FROM {EVENTS}), m AS (SELECT *, greatest(max(bucket) OVER (PARTITION BY event_type ORDER BY seq_late), {HOURLY.rows - 1}) AS newest FROM e),
+ t AS (SELECT event_type, max(newest) AS newest, count(*) FILTER (bucket <= newest - {HOURLY.rows}) AS late FROM m GROUP BY 1)
+ SELECT event_type, bucket, CAST(sum(cents) AS INT) AS v, t.newest, t.late FROM m JOIN t USING (event_type) WHERE bucket > m.newest - {HOURLY.rows} AND bucket > t.newest - {HOURLY.rows} GROUP BY event_type, bucket, t.newest, t.late""")
+def stream_ring_keyed_late(spark, sf_dir):
+    """Events that arrive in another order, so that many are too late for the ring."""
+    e = _stream(spark, sf_dir).withColumns({"seq_late": F.col("event_id") * 7919 % 1000003, "cents": F.round(F.col("value") * 100).cast("bigint"), "ns": nanoseconds("ts")})
+    return processors.to_present(processors.stream_ring_keyed(e, "ns", "cents", "seq_late", HOURLY), ["event_type"])
+
+
 @add("stream_p2_quantile", _markers_sql(p2_sql(BY_TYPE, p=0.75), 5))
 def stream_p2_quantile(spark, sf_dir):
     e = _stream(spark, sf_dir).withColumn("x", F.round(F.col("value") * 100).cast("bigint").cast("double"))
