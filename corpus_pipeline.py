@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from tidemark.llm import language, near_dedup, packing, toxicity
-from tidemark.llm.store import table, written
+from tidemark.llm.store import dropped, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document with at least this toxicity score goes.
@@ -55,12 +55,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("toxicity", toxicity_filter), ("near_dedup", near_duplicates), ("packing", pack)]
 
-#: Learned models and a byte-pair encoder are beyond SQL; tests hold each stage against a brute-force version.
+#: Learned models and a byte-pair encoder are beyond SQL. Tests hold near-duplicates and packing against brute-force versions, the
+#: learned stages against labels, and their models against plain ones (tests/llm/test_plain_twins.py).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if n:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

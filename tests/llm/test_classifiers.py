@@ -35,13 +35,13 @@ def held_out(spark, query, column):
 
 def test_toxicity_held_out(spark):
     rows = held_out(spark, op3_toxicity, "toxic")
-    assert np.mean([p for y, p, _ in rows if y]) >= 0.75
-    assert np.mean([p for y, p, _ in rows if not y]) <= 0.01
+    assert np.mean([p for y, p, _ in rows if y]) >= 0.82
+    assert np.mean([p for y, p, _ in rows if not y]) <= 0.006
 
 
 def test_quality_held_out(spark):
     rows = held_out(spark, op8_quality, "quality")
-    assert np.mean([y == p for y, p, _ in rows]) >= 0.98
+    assert np.mean([y == p for y, p, _ in rows]) >= 0.99
 
 
 def test_quality_rules_over_a_whole_table(spark):
@@ -57,7 +57,7 @@ def test_quality_rules_over_a_whole_table(spark):
         assert not (r["base_failed"] and r["kept"])
     able = [r for r in got if not r["base_failed"] and r["doc_id"] in good]
     assert np.mean([r["kept"] for r in able if good[r["doc_id"]]]) >= 0.99
-    assert np.mean([r["kept"] for r in able if not good[r["doc_id"]]]) <= 0.6
+    assert np.mean([r["kept"] for r in able if not good[r["doc_id"]]]) <= 0.4
 
 
 @pytest.mark.parametrize("t", ["", " ", "a", "a b c d e a b c d e", "a b c d e f a b c d e f a", "x\n\nx\n \nx", "é\x1cü z #|", "w " * 4000])
