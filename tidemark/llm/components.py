@@ -19,13 +19,13 @@ def join_sizes(rows: DataFrame, keyed: DataFrame, key: str, total: int, most: in
     """rows joined with keyed, which has one row a key and the number of its rows as `n`; total: all rows; most: those of the key that has most.
 
     Keys with more than max(COLD, total / HOT_KEYS) rows, HOT_KEYS of them at most, are broadcast, so that their rows stay where
-    they are; only the rows of other keys are shuffled, and none of these keys fills a task.
+    they are; only the rows of other keys are shuffled, and none of these keys fills a task. Tables that spread() dealt out are joined where they are.
     """
     cut = max(COLD, total // HOT_KEYS)
     if most <= cut:
-        return rows.join(keyed, key)
+        return rows.join(keyed.hint("merge"), key)
     hot = keyed.where(F.col("n") > cut)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("n") <= cut), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("n") <= cut).hint("merge"), key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 

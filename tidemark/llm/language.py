@@ -164,30 +164,32 @@ def train(docs: DataFrame, per_language: int = 1500, most_bytes: int = 256 << 20
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
     index = {lang: i for i, lang in enumerate(languages)}
-    sample, counted = [], []
+    sample = []  # as compact as it comes
     chosen = within(table.where("lang is not null").dropDuplicates(["lang", "hash"]), ["lang"], F.col("hash"), F.length("at") + F.length("times"), per_language, most_bytes // len(languages))
     for r in chosen.select("lang", "at", "times").toLocalIterator():  # per_language rows of each language and most_bytes at most
-        at, times = np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["times"], np.int32)
-        sample.append((index[r["lang"]], at, times * (SCALE / times.sum()) * idf[at]))
-        if evidence:
-            counted.append((index[r["lang"]], at, times))
+        sample.append((index[r["lang"]], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["times"], np.int32)))
     dropped(table)
-    sample.sort(key=lambda s: (s[0], len(s[1]), s[1].tobytes()))
+    sample.sort(key=lambda s: (s[0], len(s[1]), s[1].tobytes(), s[2].tobytes()))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(sample))
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
     model = Ftrl(SIZE, len(languages), alpha, beta, l1, l2)
+
+    def row(i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Coordinates, TF-IDF values and class of a row of the sample."""
+        target, at, times = sample[i]
+        return at.astype(np.int64), times * (SCALE / times.sum()) * idf[at], target
+
     for _ in range(epochs):
         for i in rng.permutation(fit).tolist():
-            target, at, x = sample[i]
-            model.step(at, x, target)
+            model.step(*row(i))
     weights = model.weights(slice(0, SIZE))
     if len(languages) > 1 and len(held):
-        logits = np.stack([sample[i][2] @ weights[sample[i][1]] for i in held.tolist()]) + model.intercept()
+        logits = np.stack([x @ weights[at] for at, x, _ in map(row, held.tolist())]) + model.intercept()
         temperature = _temperature(logits, np.array([sample[i][0] for i in held.tolist()]))
     else:
         temperature = 1.0
-    return LanguageModel(languages, np.ascontiguousarray((weights * idf[:, None]).T.astype(np.float32)), model.intercept(), temperature, *(_support(languages, counted) if evidence else ()))
+    return LanguageModel(languages, np.ascontiguousarray((weights * idf[:, None]).T.astype(np.float32)), model.intercept(), temperature, *(_support(languages, sample) if evidence else ()))
 
 
 def _support(languages: list[str], sample: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict[str, tuple[float, float]]]:

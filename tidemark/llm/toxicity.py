@@ -98,9 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     one = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     table = written(text_map(one.select("doc_id", "label", "text"), _extract, "doc_id bigint, label int, at binary"), "toxicity-sample")
     marks.unpersist()
-    rows = within(table, ["label"], F.xxhash64(F.lit(seed), "doc_id"), F.length("at"), per_class, most_bytes).select("label", "at").collect()  # 2 * per_class rows, 2 * most_bytes at most
+    found = within(table, ["label"], F.xxhash64(F.lit(seed), "doc_id"), F.length("at"), per_class, most_bytes).select("label", "at")
+    sample = sorted((r["label"], bytes(r["at"])) for r in found.toLocalIterator())  # 2 * per_class rows, 2 * most_bytes at most
     dropped(table)
-    sample = sorted((r["label"], bytes(r["at"])) for r in rows)
     taken = [sum(y == k for y, _ in sample) for k in (0, 1)]
     if not all(taken):  # documents of one class alone are here
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(n1 / n0)))
