@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, softmax
 from .kernel import batch_of, chunks
-from .store import dropped, fold_of, text_map, within, written
+from .store import dropped, fold_of, released, text_map, within, written
 
 BITS = 16
 SIZE = 1 << BITS
@@ -169,6 +169,7 @@ def train(docs: DataFrame, per_language: int = 1500, most_bytes: int = 256 << 20
     for r in chosen.select("lang", "at", "times").toLocalIterator():  # per_language rows of each language and most_bytes at most
         sample.append((index[r["lang"]], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["times"], np.int32)))
     dropped(table)
+    released(docs.sparkSession)
     sample.sort(key=lambda s: (s[0], len(s[1]), s[1].tobytes(), s[2].tobytes()))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(sample))

@@ -35,7 +35,7 @@ from pyspark.sql import Window
 
 from .components import COLD, components, join_sizes, sizes_of
 from .kernel import C1, LOWER, U64, Words, batch_of, chunks, mix
-from .store import dropped, text_map, written
+from .store import dropped, released, text_map, written
 
 ROWS = 8
 BATCH = 32
@@ -385,6 +385,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     edges = members.select(F.col("hub").alias("u"), F.col("cid").alias("v")).union(members.select("top", "hub")).where("u <> v").distinct()
     pruned = step(edges.join(of("v"), "v").join(of("u"), "u").select("u", "v", "n_u", "n_v", "bands_u", "bands_v").mapInArrow(*_prune(percent, miss)), "pruned")
 
+    released(docs.sparkSession)
     # every class beside its most similar hub
     best = pruned.groupBy("v").agg(F.max_by("u", F.struct("alike", -F.col("u"))).alias("u"))
     groups = best.select(F.col("u").alias("grp"), F.col("v").alias("cid")).union(best.select("u", "u")).groupBy("cid").agg(F.collect_set("grp").alias("groups"))
@@ -398,6 +399,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     component = step(component, "component")
     links = links.union(_links_between(docs, able, members, pruned, component, words, percent, miss, step))
 
+    released(docs.sparkSession)
     own = real.select("doc_id", *same).join(classes.select(*same, "cid"), same).select("doc_id", "cid")
     shared = own.groupBy("doc_id").agg(F.min("cid").alias("u"), F.max("cid").alias("v")).where("u <> v")
     shared = own.join(shared.select("doc_id", "u"), "doc_id").select("u", F.col("cid").alias("v"))
@@ -413,6 +415,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     out = written(out, "near-result")
     for t in tables:
         dropped(t)
+    released(docs.sparkSession)
     return out
 
 
@@ -429,6 +432,7 @@ def _links_between(docs: DataFrame, able: DataFrame, members: DataFrame, pruned:
     rows = join_sizes(rows, opened, "grp", total, most).drop("n")
     grouped = step(rows.join(able.select("cid", "n", "bands"), "cid"), "grouped")
     dealt = step(_blocks(grouped), "blocks")
+    released(docs.sparkSession)
     order = ["b1", "b2", "block", "cid"]
     alive = step(dealt.repartition("b1", "b2").sortWithinPartitions(*order).mapInArrow(*_survivors_of_blocks(percent, miss)), "alive")
     need = able.drop("bands").join(alive.select("cid").distinct(), "cid", "left_semi").withColumn("groups", F.array("cid"))
