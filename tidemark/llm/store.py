@@ -59,11 +59,6 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets go of what finished steps left: shuffles and broadcasts are cleaned up only once the driver has collected its references to them."""
-    spark._jvm.System.gc()
-
-
 def fold_of(column: str, of: int):
     """crc32 of the id as text, modulo the number of folds; a null id is in fold 0."""
     return F.coalesce(F.expr(f"crc32(cast(cast(`{column}` as string) as binary)) % {of}"), F.lit(0))
