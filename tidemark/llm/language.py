@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .ftrl import Ftrl, softmax
 from .kernel import batch_of, chunks
-from .store import dropped, fold_of, text_map, within, written
+from .store import brought, dropped, fold_of, text_map, within, written
 
 BITS = 16
 SIZE = 1 << BITS
@@ -157,16 +157,16 @@ def train(docs: DataFrame, per_language: int = 1500, most_bytes: int = 256 << 20
     table = written(text_map(rows.select("lang", (F.col("hash") <= bound).alias("chosen"), "hash", "text"), _counts, "bucket int, n bigint, lang string, hash bigint, at binary, times binary"), "language-counts")
     df = np.zeros(SIZE)
     total = 1
-    for r in table.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # 65,537 rows at most
-        if r["bucket"] < 0:
-            total = r["n"]
+    for bucket, n in table.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # 65,537 rows at most
+        if bucket < 0:
+            total = n
         else:
-            df[r["bucket"]] = r["n"]
+            df[bucket] = n
     idf = np.log((1 + total) / (1 + df)) + 1
     index = {lang: i for i, lang in enumerate(languages)}
     sample = []  # as compact as it comes
     chosen = within(table.where("lang is not null").dropDuplicates(["lang", "hash"]), ["lang"], F.col("hash"), F.length("at") + F.length("times"), per_language, most_bytes // len(languages))
-    for r in chosen.select("lang", "at", "times").toLocalIterator():  # per_language rows of each language and most_bytes at most
+    for r in brought(chosen.select("lang", "at", "times"), most_bytes):  # per_language rows of each language and most_bytes at most
         sample.append((index[r["lang"]], np.frombuffer(r["at"], np.uint16), np.frombuffer(r["times"], np.int32)))
     dropped(table)
     sample.sort(key=lambda s: (s[0], len(s[1]), s[1].tobytes(), s[2].tobytes()))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of rows that go to a Python worker at once (a longer row goes alone).
 BATCH_BYTES = 4 << 20
+#: Bytes of a bounded table that come to the driver at once.
+PART_BYTES = 16 << 20
 #: Rows of texts that a scan decodes at once.
 SCAN_ROWS = 512
 
@@ -59,6 +61,14 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def brought(rows: DataFrame, most_bytes: int):
+    """An iterator over the rows of a bounded table, which come to the driver by about PART_BYTES at once.
+
+    toLocalIterator() alone runs a job for each partition, one after the other: thousands for a few rows on a large cluster.
+    """
+    return rows.repartition(max(1, most_bytes // PART_BYTES)).toLocalIterator()
+
+
 def fold_of(column: str, of: int):
     """crc32 of the id as text, modulo the number of folds; a null id is in fold 0."""
     return F.coalesce(F.expr(f"crc32(cast(cast(`{column}` as string) as binary)) % {of}"), F.lit(0))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .ftrl import Ftrl
 from .kernel import C1, C2, C3, LOWER, U64, Words, batch_of, chunks, mix
-from .store import by_hash, dropped, fold_of, text_map, within, written
+from .store import brought, by_hash, dropped, fold_of, text_map, within, written
 
 BITS = 20
 #: Bytes between words: all of ASCII but letters and digits.
@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", per_class:
     table = written(text_map(one.select("doc_id", "label", "text"), _extract, "doc_id bigint, label int, at binary"), "toxicity-sample")
     marks.unpersist()
     found = within(table, ["label"], F.xxhash64(F.lit(seed), "doc_id"), F.length("at"), per_class, most_bytes).select("label", "at")
-    sample = sorted((r["label"], bytes(r["at"])) for r in found.toLocalIterator())  # 2 * per_class rows, 2 * most_bytes at most
+    sample = sorted((r["label"], bytes(r["at"])) for r in brought(found, 2 * most_bytes))  # 2 * per_class rows, 2 * most_bytes at most
     dropped(table)
     taken = [sum(y == k for y, _ in sample) for k in (0, 1)]
     if not all(taken):  # documents of one class alone are here
