@@ -15,18 +15,17 @@ ROWS_OF_TASK = 10_000
 HOT_KEYS = 4096
 
 
-def join_sizes(rows: DataFrame, keyed: DataFrame, key: str, total: int, most: int) -> DataFrame:
-    """rows joined with keyed, which has one row a key and the number of its rows as `n`; total: all rows; most: those of the key that has most.
+def join_sizes(rows: DataFrame, keyed: DataFrame, key: str, hot: list) -> DataFrame:
+    """rows joined with keyed, which has one row a key; hot: the keys with very many rows, as hot_keys() has them, or more keys than those.
 
-    Keys with more than max(COLD, total / HOT_KEYS) rows, HOT_KEYS of them at most, are broadcast, so that their rows stay where
-    they are; only the rows of other keys are shuffled, and none of these keys fills a task. Tables that spread() dealt out are joined where they are.
+    What keyed has of hot keys, HOT_KEYS rows at most, is broadcast, so that their rows stay where they are; only the rows of other
+    keys are shuffled, and none of these keys fills a task. Tables that spread() dealt out are joined where they are.
     """
-    cut = max(COLD, total // HOT_KEYS)
-    if most <= cut:
+    if not hot:
         return rows.join(keyed.hint("merge"), key)
-    hot = keyed.where(F.col("n") > cut)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col("n") <= cut).hint("merge"), key)
-    return rows.join(F.broadcast(hot), key).unionByName(cold)
+    is_hot = F.col(key).isin(hot)
+    cold = rows.where(~is_hot).join(keyed.where(~is_hot).hint("merge"), key)
+    return rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), key).unionByName(cold)
 
 
 def spread(rows: DataFrame, total: int, key: str) -> DataFrame:
@@ -35,9 +34,16 @@ def spread(rows: DataFrame, total: int, key: str) -> DataFrame:
     return rows.repartition(max(1, min(most, -(-total // ROWS_OF_TASK))), key)
 
 
-def sizes_of(keyed: DataFrame) -> tuple[int, int]:
-    """The sum and the greatest of `n`: what join_sizes() asks for."""
-    return tuple(keyed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first())
+def hot_keys(keyed: DataFrame, key: str, total: int) -> list:
+    """The keys of keyed (one row a key, n: the number of its rows) with more than max(COLD, total / HOT_KEYS) of all `total` rows: HOT_KEYS at most."""
+    if total <= COLD:
+        return []
+    return [k for (k,) in keyed.where(F.col("n") > max(COLD, total // HOT_KEYS)).select(key).collect()]
+
+
+def total_of(keyed: DataFrame) -> int:
+    """The sum of `n`: what hot_keys() asks for."""
+    return keyed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
@@ -52,13 +58,14 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
         if not state[0]:
             break
         total = 2 * state[0]
-        largest = _largest_degree(now) if total > COLD else 0
+        degrees = now.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").agg(F.count("*").alias("n"))
+        hot = hot_keys(degrees, "u", total)  # degrees only fall in the large star, so these are all hot ones of the small star, too
         both = spread(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), total, "u")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_sizes(both.where("v > u"), least, "u", total, largest).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = join_sizes(both.where("v > u"), least, "u", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = spread(large, total, "u").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_sizes(large, low, "u", total, largest).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = join_sizes(large, low, "u", hot).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
         small = spread(small, total, "u").distinct()
         new = written(small, name)
         dropped(now)
@@ -73,7 +80,3 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def _largest_degree(edges: DataFrame) -> int:
-    return edges.select(F.explode(F.array("u", "v")).alias("u")).groupBy("u").count().agg(F.max("count")).first()[0] or 0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .components import COLD, components, join_sizes, sizes_of
+from .components import COLD, components, hot_keys, join_sizes, total_of
 from .kernel import C1, LOWER, U64, Words, batch_of, chunks, mix
 from .store import dropped, text_map, written
 
@@ -326,9 +326,9 @@ def _members(classes: DataFrame, tables: list[DataFrame]) -> DataFrame:
     member = classes.select(F.explode("bands").alias("bucket"), "cid")
     stars = written(member.groupBy("bucket").agg(F.min("cid").alias("top"), F.count("*").alias("n")).where("n > 1"), "near-stars")
     tables.append(stars)
-    total, most = sizes_of(stars)
-    rows = join_sizes(member, stars, "bucket", total, most)
-    if most <= COLD:
+    hot = hot_keys(stars, "bucket", total_of(stars))
+    rows = join_sizes(member, stars, "bucket", hot)
+    if not hot and not stars.where(F.col("n") > COLD).limit(1).count():
         return rows.select("cid", "top", F.col("top").alias("hub"), "n")
     part = F.pmod(F.xxhash64("cid"), F.pow(F.lit(2), F.ceil(F.log2(F.sqrt("n")))).cast("bigint"))
     many = rows.where(F.col("n") > COLD).withColumn("hub", F.min("cid").over(Window.partitionBy("bucket", part)))
@@ -359,7 +359,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     many = parts.where(~own).groupBy("grp").agg(F.ceil(F.sum("w")).alias("many"))
     where = parts.join(many, "grp", "left").select(F.xxhash64("grp", "c1").alias("part"), "grp", "c1", own.alias("own"), F.ceil("w").alias("k"), "many", F.col("rows__").alias("n"))
     keyed = rows.withColumn("part", F.xxhash64("grp", "c1")).withColumnRenamed("n", "size__")
-    placed = join_sizes(keyed, where.select("part", "own", "k", "many", "n"), "part", *sizes_of(where)).drop("n").withColumnRenamed("size__", "n")
+    placed = join_sizes(keyed, where.select("part", "own", "k", "many", "n"), "part", hot_keys(where, "part", total_of(where))).drop("n").withColumnRenamed("size__", "n")
     block = F.when(F.col("own"), F.xxhash64("grp", "c1", F.pmod(F.xxhash64("cid"), "k"))).otherwise(F.xxhash64("grp", F.lit(0), F.pmod(F.xxhash64("c1"), "many")))
     return placed.withColumn("block", block).join(partner, "block").select("b1", "b2", "block", "cid", "c1", "n", "bands")
 
@@ -407,7 +407,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     placed = classes.join(final.withColumnRenamed("node", "cid"), "cid", "left").select(*same, "rep", F.coalesce("component", "cid").alias("c"))
     placed = step(placed, "placed")
     labels = placed.groupBy("c").agg(F.min("rep").alias("label"), F.count("*").alias("n"))
-    labels = join_sizes(placed.drop("rep"), labels, "c", *sizes_of(labels)).select(*same, "label")
+    labels = join_sizes(placed.drop("rep"), labels, "c", hot_keys(labels, "c", total_of(labels))).select(*same, "label")
     component_id = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
     out = keys.drop("bands").join(labels, same, "left").select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
     out = written(out, "near-result")
@@ -423,10 +423,10 @@ def _links_between(docs: DataFrame, able: DataFrame, members: DataFrame, pruned:
     # hub and member alone are settled if their pair was pruned
     alive = pruned.select(F.col("u").alias("grp"), F.lit(True).alias("alive")).distinct()
     opened = step(opened.join(alive, "grp", "left").where("n > 2 or alive").select("grp", "n"), "open")
-    total, most = sizes_of(opened)
+    total = total_of(opened)
     if not total:
         return step(component.sparkSession.createDataFrame([], "u bigint, v bigint"), "no-links")
-    rows = join_sizes(rows, opened, "grp", total, most).drop("n")
+    rows = join_sizes(rows, opened, "grp", hot_keys(opened, "grp", total)).drop("n")
     grouped = step(rows.join(able.select("cid", "n", "bands"), "cid"), "grouped")
     dealt = step(_blocks(grouped), "blocks")
     order = ["b1", "b2", "block", "cid"]
