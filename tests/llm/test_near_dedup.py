@@ -127,6 +127,57 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
 
 
+def test_stars_of_edges():
+    rng = random.Random(5)
+    for n in (1, 10, 300):
+        edges = [(rng.randrange(n) * 7 - 50, rng.randrange(n) * 7 - 50) for _ in range(n)]
+        least = {x: x for e in edges for x in e}
+        for _ in least:
+            for a, b in edges:
+                least[a] = least[b] = min(least[a], least[b])
+        got = cc.stars(*np.array(edges, np.int64).T)
+        assert dict(zip(*(x.tolist() for x in got), strict=True)) == {x: y for x, y in least.items() if x != y}
+        assert len(got[0]) == len(set(got[0].tolist()))
+
+
+@pytest.mark.parametrize("edges_of_task", [1, 40, 1 << 17])
+def test_components_whatever_a_task_contracts(spark, monkeypatch, edges_of_task):
+    """Rounds of the steps between tasks, and one task for all, give the same."""
+    monkeypatch.setattr(cc, "EDGES_OF_TASK", edges_of_task)
+    monkeypatch.setattr(cc, "COLD", 8)
+    rng = random.Random(4)
+    edges = [(i + 1, i) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (None, 3), (300, 301), (301, 300)]
+    edges += [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(150)]
+    least = {x: x for u, v in edges if u is not None and u != v for x in (u, v)}
+    for _ in least:
+        for u, v in edges:
+            if u is not None and u != v:
+                least[u] = least[v] = min(least[u], least[v])
+    rows = components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(5)).collect()
+    assert len(rows) == len(least) and {r["node"]: r["component"] for r in rows} == least
+
+
+def test_few_edges_take_few_tasks(spark):
+    """Rounds over many shuffle partitions fill the driver with tasks and plans: in rounds, these edges took 214 tasks by this count."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "u bigint, v bigint").repartition(3)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("64", "false"), strict=True):
+        spark.conf.set(k, v)
+    sc = spark.sparkContext
+    sc.setJobGroup("few-edges", "")
+    try:
+        rows = components(edges).collect()
+        stages = {i for j in sc.statusTracker().getJobIdsForGroup("few-edges") for i in sc.statusTracker().getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for x in map(sc.statusTracker().getStageInfo, stages) if x)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(r) for r in rows} == {(i, 0) for i in range(21)}
+    print(f"{tasks} tasks")
+    assert tasks < 150
+
+
 def test_large_groups_and_hot_keys(spark, monkeypatch):
     """The plans for large groups, with what counts as large made small: the same rows."""
     monkeypatch.setattr(nd, "BLOCK", 3)

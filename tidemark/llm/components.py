@@ -1,10 +1,15 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps, and joins that survive hot keys."""
+"""Connected components of an edge table, contracted within tasks and then by alternating large-star and small-star steps, and joins that survive hot keys."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import batch_of
 from .store import dropped, written
 
 #: A key with fewer rows than this is never hot, and tables of fewer rows have no hot keys.
@@ -13,6 +18,8 @@ COLD = 1024
 ROWS_OF_TASK = 10_000
 #: Keys that can be hot at once: each has more than this part of all rows.
 HOT_KEYS = 4096
+#: Edges that a task contracts at once (16 bytes each).
+EDGES_OF_TASK = 1 << 17
 
 
 def join_sizes(rows: DataFrame, keyed: DataFrame, key: str, total: int, most: int) -> DataFrame:
@@ -40,13 +47,62 @@ def sizes_of(keyed: DataFrame) -> tuple[int, int]:
     return tuple(keyed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first())
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges but the least of each component, and beside each that least one."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    parent = list(range(len(nodes)))
+    for i, j in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        while parent[j] != j:
+            parent[j] = j = parent[parent[j]]
+        if i != j:
+            parent[max(i, j)] = min(i, j)
+    root = np.array(parent, np.int64)
+    while (root[root] != root).any():
+        root = root[root]
+    rest = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[rest], nodes[root[rest]]
+
+
+def _contracted(edges: DataFrame, most: int) -> DataFrame:
+    """edges (u, v) -> u, v: the stars of `most` edges at a time, or a few more; no shuffle, and the same components."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(2)])
+            n += batch.num_rows
+            if n >= most:
+                yield batch_of(schema, *stars(*map(np.concatenate, zip(*held, strict=True))))
+                held, n = [], 0
+        if n:
+            yield batch_of(schema, *stars(*map(np.concatenate, zip(*held, strict=True))))
+
+    return edges.mapInArrow(run, "u bigint, v bigint")
+
+
 def components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
     """edges (u, v bigint) -> node, component: every node with an edge to another one, and the least node that it can reach.
 
-    Each round is a table in the shared folder, so that lost executors cost one round at most. Rounds grow with the
-    logarithm of the longest path. Null ends and loops are no edges; repeated edges are one.
+    Tasks contract what they read first: after that, EDGES_OF_TASK edges are one task's work, without a shuffle, and more of them are
+    left to rounds. Each round is a table in the shared folder, so that lost executors cost one round at most. Rounds
+    grow with the logarithm of the longest path. Null ends and loops are no edges; repeated edges are one.
     """
-    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    first = written(_contracted(edges.where("u <> v").select("u", "v"), EDGES_OF_TASK), name)
+    tasks = -(-first.count() // EDGES_OF_TASK)
+    now = written(_contracted(first.coalesce(max(1, tasks)), EDGES_OF_TASK), name)
+    dropped(first)
+    return _stars_of(now if tasks <= 1 else _rounds(now, name, most))
+
+
+def _stars_of(now: DataFrame) -> DataFrame:
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+
+
+def _rounds(now: DataFrame, name: str, most: int) -> DataFrame:
+    """now (u, v), u > v, a table of written() -> the same with the least node of each component for v."""
     state = _state(now)
     for _ in range(most):
         if not state[0]:
@@ -68,7 +124,7 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
             break
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    return now
 
 
 def _state(edges: DataFrame) -> tuple:
