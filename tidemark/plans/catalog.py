@@ -669,8 +669,8 @@ def monitor_entries(spark, sf_dir):
  SELECT event_type AS path, 'field' AS kind, 'user_id' AS name, value, cnt FROM c JOIN early USING (event_type) WHERE n = 255 AND n >= 2 * d
  UNION ALL SELECT event_type, 'header', 'Pid', value, cnt FROM c JOIN early USING (event_type) WHERE n = 255 AND n > d""")
 def monitor_set_counts(spark, sf_dir):
-    """The SQL holds while no type has more than 255 users, as at the scale of its check."""
-    return mon.set_counts(_monitored(spark, sf_dir)).withColumn("path", F.array_join("path", "->"))
+    """Of the users, the two entries that the SQL names; whole counts, also of sets that a monitor's state can't hold."""
+    return mon.whole_set_counts(_messages(spark, sf_dir), SETTINGS, exclude=["Fields[value]", "Fields[props]"]).withColumn("path", F.array_join("path", "->"))
 
 
 #: Days compared with days, and every deviation an alert.
