@@ -25,3 +25,13 @@ USERS = """select i as event_id, timestamp '2024-01-01' + to_seconds(i * 60) as
 def test_sets_that_overflow_are_counted_whole(spark, tmp_path):
     got, want = differing(spark, tmp_path, "monitor_set_counts", USERS)
     assert got == want and len(want) == 300 + 300 + 400
+
+
+#: Three ids for each value of seq_late, with hours that lie far apart.
+PEERS = """select i + 1000003 * j as event_id, timestamp '2024-01-01' + to_hours((i * 31 + j * 311) % 720) as ts, i % 15 as user_id, case when i % 2 = 0 then 'a' else 'b' end as event_type, (i + j) / 100 as value, '{}' as props
+ from range(400) a(i), range(3) b(j)"""
+
+
+def test_events_that_share_an_order_value_come_at_once_in_a_stream(spark, tmp_path):
+    got, want = differing(spark, tmp_path, "stream_ring_keyed_late", PEERS)
+    assert got == want and len(want) > 200

@@ -110,9 +110,12 @@ def stream_ring(events: DataFrame, ts: str, v: str, ring: Ring) -> DataFrame:
 
 
 def stream_ring_keyed(events: DataFrame, ns: str, v: str, order: str, ring: Ring) -> DataFrame:
-    """keys, bucket, v, newest, late after each micro-batch: a ring per key as state, exact for series that advance at their own pace."""
-    rows = events.where(F.col(ns).isNotNull() & (F.col(ns) >= 0)).withColumn("ns__", F.col(ns).cast("bigint")).withColumn("v__", F.col(v).cast("bigint"))
-    return stream_fold(rows, list(ring.keys), [order], ["ns__", "v__"], lambda *k: RingFold(ring), "bucket bigint, v int, newest bigint, late bigint")
+    """keys, bucket, v, newest, late after each micro-batch: a ring per key as state, exact for series that advance at their own pace.
+
+    Events of a micro-batch that share an order value come at once: the newest moves the ring on before any of them is found late.
+    """
+    rows = events.where(F.col(ns).isNotNull() & (F.col(ns) >= 0)).withColumn("ns__", F.col(ns).cast("bigint")).withColumn("v__", F.col(v).cast("bigint")).withColumn("back__", -F.col("ns__"))
+    return stream_fold(rows, list(ring.keys), [order, "back__"], ["ns__", "v__"], lambda *k: RingFold(ring), "bucket bigint, v int, newest bigint, late bigint")
 
 
 def trim_ring(sums: DataFrame, ring: Ring) -> DataFrame:
