@@ -1,7 +1,6 @@
 """Queries against their SQL over tables that have what the scale of test_entry.py has not."""
 
 import duckdb
-import pytest
 
 import __spark_entry__ as e
 
@@ -35,3 +34,8 @@ PEERS = """select i + 1000003 * j as event_id, timestamp '2024-01-01' + to_hours
 def test_events_that_share_an_order_value_come_at_once_in_a_stream(spark, tmp_path):
     got, want = differing(spark, tmp_path, "stream_ring_keyed_late", PEERS)
     assert got == want and len(want) > 200
+
+
+def test_adds_that_share_an_order_value_return_what_all_of_them_leave(spark, tmp_path):
+    got, want = differing(spark, tmp_path, "ts_add_prefix", PEERS)
+    assert got == want and len(want) == 1200

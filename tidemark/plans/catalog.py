@@ -130,7 +130,7 @@ def ts_ring_set_late(spark, sf_dir):
  FROM (SELECT *, greatest(max(hour) OVER (PARTITION BY event_type ORDER BY seq_late), 167) AS m FROM {EVENTS})""")
 def ts_add_prefix(spark, sf_dir):
     """What every add returns, events coming late: null once the ring has moved on."""
-    return rings.ring_prefix(events(spark, sf_dir), HOURLY, "ns", "cents", "seq_late").join(events(spark, sf_dir).select("seq", "seq_late"), "seq_late").select("event_type", "seq", "value")
+    return rings.ring_prefix(events(spark, sf_dir), HOURLY, "ns", "cents", "seq_late", ["seq"]).select("event_type", "seq", "value")
 
 
 BIG = "CASE WHEN event_id % 3 = 0 THEN -cents ELSE cents END * 60000"
