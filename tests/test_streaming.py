@@ -88,3 +88,57 @@ def test_reports_come_by_the_clock(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert sum(x == {"a", "b"} for x in seen) >= 3
+
+
+def test_a_key_of_a_large_micro_batch_is_sorted_in_bounded_memory(spark, tmp_path):
+    class InOrder:
+        """Counts rows, how many came out of order, and the MB by which the process's peak memory rose meanwhile."""
+
+        def __init__(self):
+            self.before, self.last, self.n, self.wrong = self.peak(), -1, 0, 0
+
+        @staticmethod
+        def peak():
+            import resource
+
+            return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+
+        def add(self, seq, text):
+            self.wrong += seq <= self.last
+            self.last, self.n = seq, self.n + 1
+
+        def rows(self):
+            return [(self.n, self.wrong, self.peak() - self.before)]
+
+        def __reduce__(self):
+            return dict, ()  # the state is not read again
+
+    rows = spark.range(200_000).selectExpr("'k' as key", "id * 7919 % 200000 as seq", "concat(repeat('x', 1500), id) as text")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    s = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in/*")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # PySpark itself holds 57 batches
+    try:
+        got = ps.to_present(ps.stream_fold(s, ["key"], ["seq"], ["seq", "text"], lambda *k: InOrder(), "n bigint, wrong bigint, mb bigint"), ["key"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r["n"], r["wrong"]) for r in got] == [(200_000, 0)]
+    assert got[0]["mb"] < 250
+
+
+def test_order_over_runs(monkeypatch):
+    """Nulls last and equal values as they came, whether or not there are runs of runs."""
+    import random
+
+    import pandas as pd
+
+    from tidemark.streaming import ordering
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.randint(0, 5), i) for i in range(3000)]
+    want = [r for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1]))]
+    for size in (1 << 30, 4000, 1):
+        monkeypatch.setattr(ordering, "RUN_BYTES", size)
+        monkeypatch.setattr(ordering, "FAN", 4)
+        parts = (pd.DataFrame(rows[i : i + 50], columns=["s", "x", "n"]) for i in range(0, 3000, 50))
+        assert list(ordering.in_order(parts, ["s", "x"], ["s", "x", "n"])) == want
+    assert list(ordering.in_order(iter([]), ["s"], ["x"])) == []

@@ -22,6 +22,7 @@ from ..operators.rings import Ring, RingFold
 from ..operators.sketches import Shape, _ConservativeFold, updates
 from ..plans.monitor import ENTRY_COLUMNS, ENTRY_KEYS, ENTRY_SCHEMA, Entry, Settings
 from ..sources.messages import explode_entries
+from .ordering import in_order
 
 STATE_VERSION = 1
 
@@ -35,7 +36,8 @@ def stream_fold(df: DataFrame, keys: list[str], order: list[str], columns: list[
 
     tick_seconds: also the rows of every key that has emitted nothing for so long, whether or not there are new data: the
     timer of a periodic report. What emitting changes in a fold (alerts that it counts) is part of the state that is stored.
-    A key's rows of one micro-batch are sorted in memory: limit the batch at the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
+    A key's rows of one micro-batch are sorted by its task in bounded memory, and beyond it in files of Spark's local folder. PySpark holds
+    up to 57 Arrow batches besides (itertools.tee keeps as many in a block): for wide rows lower spark.sql.execution.arrow.maxRecordsPerBatch.
     """
     fields = T.StructType([df.schema[k] for k in keys] + list(T._parse_datatype_string(schema).fields))
     names = [f.name for f in fields]
@@ -44,8 +46,7 @@ def stream_fold(df: DataFrame, keys: list[str], order: list[str], columns: list[
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fold = pickle.loads(state.get[0]) if state.exists else make(*key)
         if not state.hasTimedOut:
-            rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-            for row in zip(*(rows[c].tolist() for c in columns), strict=True):
+            for row in in_order(parts, order, columns):
                 fold.add(*(None if isinstance(x, float) and x != x else x for x in row))
         out = [(*key, *r) for r in fold.rows()]
         state.update((pickle.dumps(fold),))
